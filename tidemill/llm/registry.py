@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe_codec
 from .near_duplicates import ORACLE as NEAR_DUPLICATES_SQL
 from .near_duplicates import op5_near_duplicates
 
-QUERIES = {f.__name__: f for f in (op5_near_duplicates,)}
+QUERIES = {f.__name__: f for f in (op5_near_duplicates, op8_bpe_codec)}
 ORACLES = {"op5_near_duplicates": NEAR_DUPLICATES_SQL}
