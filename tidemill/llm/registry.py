@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_codec
+from .decontamination import ORACLE as DECONTAMINATION_SQL
+from .decontamination import op4_decontamination
 from .near_duplicates import ORACLE as NEAR_DUPLICATES_SQL
 from .near_duplicates import op5_near_duplicates
 
-QUERIES = {f.__name__: f for f in (op5_near_duplicates, op8_bpe_codec)}
-ORACLES = {"op5_near_duplicates": NEAR_DUPLICATES_SQL}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_duplicates, op8_bpe_codec)}
+ORACLES = {"op4_decontamination": DECONTAMINATION_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL}
