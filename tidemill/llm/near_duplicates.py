@@ -32,6 +32,8 @@ BANDS, ROWS = 32, 4
 LEAST_AGREEING = 74
 #: Classes of a bucket in one block; larger buckets are compared block by block.
 BLOCK = 512
+#: Bits of the filter that picks the texts to read a second time.
+FILTER_BITS = 1 << 24
 
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
@@ -152,6 +154,34 @@ def _confirm(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+def _xors() -> list:
+    """Together a fingerprint of a bucket's members, of which each is there once."""
+    return [F.expr("bit_xor(xxhash64(rep))").alias("f1"), F.expr("bit_xor(xxhash64(rep, 1))").alias("f2")]
+
+
+def _once(buckets: DataFrame) -> DataFrame:
+    """One bucket of all that have the same members."""
+    return buckets.filter("m > 1").groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+
+
+def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents among ``wanted``'s classes and, rarely, others: a Bloom filter keeps the texts from being shuffled.
+
+    The filter is a table of FILTER_BITS / 64 rows at most, whatever the
+    input, which bounds what is broadcast. The join with the members decides.
+    """
+
+    def place(c):
+        bit = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        return F.floor(bit / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+
+    word, mask = place("rep")
+    bits = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    word, mask = place("doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), word.alias("word"), mask.alias("mask"))
+    return texts.join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(F.col("mask")) != 0).select("doc_id", "text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, set size, two digests of the set, its bands' keys and one byte of each minimum."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, _SIGNED)
@@ -170,15 +200,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("x")).select("s1", "s2", "rep", "x.bands", "x.sketch")
     classes = store(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.expr("sum(cast(xxhash64(rep) as decimal(20,0)))").alias("f1"), F.expr("bit_xor(xxhash64(rep, 1))").alias("f2"))
-    once = buckets.filter("m > 1").groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    members = store(banded.join(once, "bucket"), "members")
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), *_xors())
+    members = store(banded.join(_once(buckets), "bucket"), "members")
     small = members.filter(F.col("m") <= BLOCK).join(classes.select("rep", "sketch"), "rep").select("bucket", "rep", "sketch")
     checked = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "bucket long, rep long, m long")
     checked = store(checked.unionByName(members.filter(F.col("m") > BLOCK)), "checked")
-    wanted = checked.select("rep").distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = texts.mapInArrow(_sets, "rep long, shingles binary")
+    checked = checked.join(_once(checked.groupBy("bucket").agg(F.max("m").alias("m"), *_xors())).select("bucket"), "bucket")
+    sets = _maybe(docs, checked).mapInArrow(_sets, "rep long, shingles binary")
     parts = F.ceil(F.col("m") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("rep"), F.col("k"))
     pairs = (
