@@ -27,6 +27,8 @@ FEATURES = 4096
 PREFIXES = (4, 5, 6, 8)
 #: Rows that a feature must occur in to be used.
 SUPPORT = 3
+#: Rows of the sample's mix of labels that each feature's share of toxic rows is mixed with.
+SHRINK = 10
 #: Learned lexicons that vote.
 LEXICONS = 12
 
@@ -178,13 +180,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(rows, features: np.ndarray, lift: np.ndarray) -> Model:
-    """From sampled rows (toxic, positions of their selected features, pattern votes) and the features' log odds for toxic texts."""
+def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Model:
+    """From sampled rows (toxic, their selected features, pattern votes), the features' log odds for toxic texts and the smoothed share of toxic rows among those that have the feature."""
     y = np.array([r.toxic for r in rows], dtype=int)
     n, width = len(y), len(features)
     if n == 0 or y.min() == y.max():
-        share = (y.sum() + 1) / (n + 2)
-        return Model(features[:0], np.array([np.log(share / (1 - share))]), None)
+        rate = (y.sum() + 1) / (n + 2)
+        return Model(features[:0], np.array([np.log(rate / (1 - rate))]), None)
     presence = Presence(features)
     count = np.array([len(r.features) for r in rows])
     hashes = np.concatenate([np.asarray(r.features, dtype=np.int64) for r in rows]).view(np.uint64) if count.sum() else np.zeros(0, np.uint64)
@@ -202,7 +204,10 @@ def _fit(rows, features: np.ndarray, lift: np.ndarray) -> Model:
     votes[:, LEXICONS + len(INSULTS) : -1] = np.array([list(r.marks) for r in rows], dtype=bool)
     votes[:, -1] = np.bincount(at[use], minlength=n) >= 2
     posterior, estimates = label_model(votes, y)
-    return Model(features, logistic(at, column, n, width, posterior), estimates)
+    # toxic texts of the sample hold several signs each; rows of a single sign teach what one is worth
+    alone = n + np.arange(len(toxic))
+    weights = logistic(np.append(at, alone), np.append(column, toxic), n + len(toxic), width, np.append(posterior, share[toxic]))
+    return Model(features, weights, estimates)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -221,16 +226,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return _fit(sample.select("toxic", F.array().cast("array<long>").alias("features"), "marks").collect(), np.zeros(0, np.uint64), np.zeros(0))
+        return _fit(sample.select("toxic", F.array().cast("array<long>").alias("features"), "marks").collect(), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     counted = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0")).filter(F.col("k1") + F.col("k0") >= SUPPORT)
     # signed root of the information that the feature's presence has on the label
     p1, p0, p = (F.col("k1") + 0.5) / (n1 + 1), (F.col("k0") + 0.5) / (n0 + 1), (F.col("k1") + F.col("k0") + 1) / (n1 + n0 + 2)
     gain = n1 * (p1 * F.log(p1 / p) + (1 - p1) * F.log((1 - p1) / (1 - p))) + n0 * (p0 * F.log(p0 / p) + (1 - p0) * F.log((1 - p0) / (1 - p)))
-    best = counted.select("f", F.log(p1 / p0).alias("lift"), gain.alias("gain")).orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
+    best = counted.select("f", F.log(p1 / p0).alias("lift"), gain.alias("gain"), ((F.col("k1") + SHRINK * n1 / (n1 + n0)) / (F.col("k1") + F.col("k0") + SHRINK)).alias("share")).orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
     features = np.array([r.f for r in best], dtype=np.int64).view(np.uint64)
     chosen = [int(r.f) for r in best]
     few = sample.select("toxic", F.array_intersect("features", F.lit(chosen).cast("array<long>")).alias("features"), "marks")
-    return _fit(few.collect(), features, np.array([r.lift for r in best]))
+    return _fit(few.collect(), features, np.array([r.lift for r in best]), np.array([r.share for r in best]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
