@@ -22,15 +22,19 @@ import struct
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .words import slices
 
 #: Where the vocabulary files are; the folder's path can be set by this variable of the environment.
 FOLDER = os.environ.get("TIDEMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{FOLDER}/byte_bpe_50k.json"
 #: Words whose tokens a worker remembers before it starts over.
 REMEMBERED = 400_000
+#: Ids decoded at once.
+AT_ONCE = 1 << 18
 #: Longer words aren't remembered.
 LONG = 64
 
@@ -203,10 +207,11 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' bytes, gathered from one blob by the table of offsets."""
-        at, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(size)
         if not len(ids):
             return b""
+        ids = ids.astype(np.int64)
+        at, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
+        ends = np.cumsum(size)
         step = np.arange(ends[-1], dtype=np.int64) + np.repeat(at - (ends - size), size)
         return self.blob[step].tobytes()
 
@@ -218,42 +223,48 @@ def codec(path: str) -> Codec:
     return made
 
 
-def _digest(path: str):
+def _encoded(path: str, with_ids: bool):
     def run(batches):
         c = codec(path)
         for batch in batches:
-            n, ids_hash, text_hash = [], [], []
-            for text in batch.column(1):
-                ids = c.encode(text.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                h = hashlib.sha256()
-                all_ids = np.frombuffer(ids, dtype="<u4").astype(np.int64)
-                tail = b""
-                for a in range(0, len(all_ids), 1 << 18):
-                    h.update(c.decode(all_ids[a : a + (1 << 18)]))
-                text_hash.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            column = batch.column(1)
+            for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                n, ids_hash, text_hash, kept = [], [], [], []
+                for text in column.slice(a, b - a).to_pylist():
+                    ids = c.encode(text or "")
+                    n.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    back = hashlib.sha256()
+                    numbers = np.frombuffer(ids, dtype="<u4")
+                    for k in range(0, len(numbers), AT_ONCE):
+                        back.update(c.decode(numbers[k : k + AT_ONCE]))
+                    text_hash.append(back.hexdigest())
+                    kept.append(ids)
+                out = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(kept, pa.binary())] if with_ids else out, names=[*names, "ids"] if with_ids else names)
 
     return run
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, the text's token ids and the text decoded from them, for each row."""
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """``digests`` with the column ids: the token ids as little-endian unsigned 32-bit integers."""
+    return docs.select("doc_id", "text").mapInArrow(_encoded(path, True), _DIGESTS + ", ids binary")
+
+
+def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id and text of rows with doc_id and ids, as ``encoded`` makes them."""
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            ids = [np.frombuffer(c.encode(t.as_py() or ""), dtype="<u4").astype(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int64())), pa.array([c.decode(x).decode("utf-8", "replace") for x in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+            texts = [c.decode(np.frombuffer(x or b"", dtype="<u4")).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<long>, decoded string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -263,7 +274,7 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     are independent, so repeated rows give repeated results; an empty table
     gives an empty result. Ids and decoded texts never leave the task.
     """
-    return docs.select("doc_id", "text").mapInArrow(_digest(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_encoded(path, False), _DIGESTS)
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores under one half; no row leaves its partition."""
+
+    def run(batches):
+        for rows, texts in texts_of(batches):
+            yield rows.filter(pa.array(model.score(texts) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``.
 

@@ -125,12 +125,13 @@ def slices(sizes, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 def texts_of(batches, column: str = "text", limit: int = BLOCK):
-    """(rows, texts) for runs of rows of Arrow batches whose binary column ``column`` holds about ``limit`` bytes."""
+    """(rows, texts) for runs of rows of Arrow batches whose column ``column``, binary or string, holds about ``limit`` bytes; nulls give empty texts."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
+        col = col if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else col.cast(pa.binary())
         sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         for a, b in slices(sizes.tolist(), limit):
             rows = pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], schema=batch.schema)
