@@ -7,10 +7,12 @@ from .decontamination import ORACLE as DECONTAMINATION_SQL
 from .decontamination import op4_decontamination
 from .near_duplicates import ORACLE as NEAR_DUPLICATES_SQL
 from .near_duplicates import op5_near_duplicates
+from .nearest import ORACLE as NEAREST_SQL
+from .nearest import op9_nearest
 from .pii import op6_pii
 from .sharding import ORACLE as SHARDING_SQL
 from .sharding import op10_sharding
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_duplicates, op6_pii, op7_toxicity, op8_bpe_codec, op10_sharding)}
-ORACLES = {"op10_sharding": SHARDING_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_near_duplicates, op6_pii, op7_toxicity, op8_bpe_codec, op9_nearest, op10_sharding)}
+ORACLES = {"op9_nearest": NEAREST_SQL, "op10_sharding": SHARDING_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op5_near_duplicates": NEAR_DUPLICATES_SQL}
