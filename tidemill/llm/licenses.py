@@ -89,9 +89,9 @@ PROSE = [
 COMMON = frozenset(
     "a about above after all along also an and any are as at be been before by can do either else every for from had has have he her his i if in into is it its kind may more most must no not of off on one or other our out part shall she should so such than that the their them then there these they this to under unless up use used via was we were what when which who will with without you your".split()
 )
-#: The least share of a paragraph's word pairs that the family's templates must have.
-CONFIRM = 0.5
-RIDGE = 2e-4
+#: The least share, by weight, of a paragraph's word pairs with a licence word that the family's templates must have.
+CONFIRM = 0.53
+RIDGE = 5e-5
 #: Share of the licence paragraphs of families the model doesn't know that the bound must find unknown.
 CALIBRATED = 0.9
 
@@ -149,7 +149,7 @@ class Classifier:
         return p / p.sum()
 
 
-def _multinomial(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def _multinomial(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Ridge multinomial logistic regression by accelerated gradient steps."""
     n = len(x)
     target = np.eye(classes)[y] / np.bincount(y, minlength=classes)[y][:, None] * (n / classes)
@@ -223,17 +223,21 @@ def scanned(docs: DataFrame) -> DataFrame:
     softmax = let("top", "array_max(z)", let("e", "transform(z, v -> exp(v - top))", "transform(e, v -> v / aggregate(e, 0D, (s, u) -> s + u))"))
     best = f"cast(array_position(slice(q, 1, {n}), array_max(slice(q, 1, {n}))) as int)"
     names = _strings(model.families)
-    alike = "size(array_intersect(p, templates[k - 1])) / greatest(size(p), 1)"
+    # pairs that few families have weigh more, and pairs that none has weigh most
+    often = {g: sum(g in x for x in pairs) for g in sorted(set().union(*map(set, pairs)))}
+    rarity = "cast(split('" + ",".join(f"{np.log(1 + n / c) / np.log(1 + n):.5f}" for c in often.values()) + "', ',') as array<double>)"
+    weight = lambda x: f"aggregate({x}, 0D, (s, g) -> s + coalesce(get(rarity, cast(array_position(known, g) as int) - 1), 1D))"
+    alike = f"{weight('array_intersect(p, templates[k - 1])')} / greatest({weight('p')}, 1e-9D)"
     named = (
         f"named_struct('paragraph', j, 'family', if(q[k - 1] >= {bound!r} and {alike} >= {CONFIRM}, names[k - 1], 'unknown'), "
         f"'probability', round(q[k - 1], 6), 'similarity', round({alike}, 6), 'prose', q[{n}])"
     )
-    judged = let("w", spaced("line"), let("p", all_pairs, let("h", hits, let("z", logits, let("q", softmax, let("k", best, named))))))
+    judged = let("w", spaced("line"), let("p", f"filter({all_pairs}, g -> arrays_overlap(split(g, ' '), {_strings(anchors)}))", let("h", hits, let("z", logits, let("q", softmax, let("k", best, named))))))
     # cheap first: only lines with a word of the templates can be anything but prose
     marked = docs.select("doc_id", "text").withColumn("words", F.expr(f"if(text is null, array(), {spaced('text')})"))
     gated = marked.withColumn("any", F.expr(f"arrays_overlap(words, {_strings(anchors)})"))
     lines = f"if(any, filter(transform(split(text, '\\n'), (line, j) -> struct(line, j)), l -> arrays_overlap({spaced('l.line')}, {_strings(anchors)})), cast(array() as array<struct<line:string,j:int>>))"
-    lets = {"vocabulary": vocabulary, "weights": weights, "names": names, "templates": templates}
+    lets = {"vocabulary": vocabulary, "weights": weights, "names": names, "templates": templates, "rarity": rarity, "known": _strings(often)}
     for name, value in lets.items():
         judged = re.sub(rf"(?<![\w'.]){name}(?=[\[,])", value.replace("\\", r"\\"), judged)
     notices = f"filter(transform({lines}, l -> {re.sub(r'(?<![\w.])(line|j)(?!\w)', r'l.\1', judged)}), x -> x.prose < 0.5)"
