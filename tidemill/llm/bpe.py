@@ -32,7 +32,7 @@ from .words import slices
 FOLDER = os.environ.get("TIDEMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{FOLDER}/byte_bpe_50k.json"
 #: Words whose tokens a worker remembers before it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Ids decoded at once.
 AT_ONCE = 1 << 18
 #: Longer words aren't remembered.
