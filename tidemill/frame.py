@@ -181,9 +181,10 @@ class Frame:
             df = self.df.crossJoin(F.broadcast(self.df.agg(made.alias("__put__"))))
             put = F.col("__put__")
         hit = c.isNull() & (self._listed(name, only_for) if only_for else F.lit(True))
+        new = {name: F.when(hit, put).otherwise(c)}
         if _NA + name in self.df.columns:
-            df = df.withColumn(_NA + name, F.when(~hit, F.col(_NA + name)))
-        return self._with(df.withColumn(name, F.when(hit, put).otherwise(c)).drop("__put__"))
+            new[_NA + name] = F.when(~hit, F.col(_NA + name))
+        return self._with(df.withColumns(new).drop("__put__"))
 
     # -- rows -------------------------------------------------------------
 

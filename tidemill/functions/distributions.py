@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ class Distribution:
 
     def column(self, what: str, x) -> Column:
         """``density``, ``cdf`` or ``quantile`` of a column; missing stays missing."""
-        import pandas as pd
-
         def run(s: pd.Series) -> pd.Series:
             with np.errstate(all="ignore"):
                 return pd.Series(getattr(self, what)(s.to_numpy(dtype=float, na_value=np.nan)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +71,7 @@ def knn(df: DataFrame, column: str, features: Sequence[str], k: int = 5, seed: i
     span = np.where(high > low, high - low, 1.0)
     y, x = donors[:, 0], donors[:, 1:] / span
 
-    def run(*series):
-        import pandas as pd
-
+    def run(*series: pd.Series) -> pd.Series:
         q = np.column_stack([s.to_numpy(float, na_value=np.nan) for s in series]) / span
         out = np.empty(len(q))
         for i, row in enumerate(q):
@@ -83,12 +82,7 @@ def knn(df: DataFrame, column: str, features: Sequence[str], k: int = 5, seed: i
             out[i] = (w * y[near]).sum() / w.sum()
         return pd.Series(out)
 
-    import pandas as pd
-
-    def typed(*s: pd.Series) -> pd.Series:
-        return run(*s)
-
-    udf = F.pandas_udf(typed, "double")
+    udf = F.pandas_udf(run, "double")
     missing = df.filter(F.col(column).isNull()).withColumn(column, udf(*[F.col(c).cast("double") for c in features]))
     return df.filter(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double")).unionByName(missing)
 
@@ -118,8 +112,6 @@ def pmm(df: DataFrame, column: str, features: Sequence[str], donors: int = 5, se
     order = np.argsort(at, kind="stable")
     at, values = at[order], rows[order, 0]
 
-    import pandas as pd
-
     def run(p: pd.Series, h: pd.Series) -> pd.Series:
         p, h = p.to_numpy(float), h.to_numpy(np.int64)
         place = np.searchsorted(at, p)

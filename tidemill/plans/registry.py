@@ -1,24 +1,721 @@
-"""The registered queries over the engine's own operators and their DuckDB counterparts."""
+"""The registered queries over the engine's own operators, each beside its DuckDB counterpart."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frame import Frame, desc
+from ..functions import distributions as D
+from ..functions import scalar as S
+from ..functions import vectors as V
+from ..models import causal, contracts, impute, linear, panel, survival, timeseries
+from ..models import irt as irt_models
+from ..models import multilevel, mixture
+from ..models import tests as hypothesis
+from ..operators import aggregates as A
+from ..sources.files import read_parquet
+from ..sources.sql import query_sql
+from ..streaming import windows
 
-def q_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 4).alias("sum_qty"),
-        F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
-        F.count(F.lit(1)).alias("n"),
-    )
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (tables) -> Frame or DataFrame, where ``tables("name")`` reads one."""
+
+    def wrap(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(lambda name: read_parquet(spark, f"{sf_dir}/{name}.parquet"))
+            return out.to_spark() if isinstance(out, Frame) else out
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def r6(x, to: str):
+    return F.round(x, 6).alias(to)
+
+
+def rounded(frame, *columns: str, digits: int = 6) -> DataFrame:
+    df = frame.to_spark() if isinstance(frame, Frame) else frame
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+def one_row(frame: Frame | DataFrame, **values) -> DataFrame:
+    """A table of one row of numbers that a model returned."""
+    df = frame.df if isinstance(frame, Frame) else frame
+    return df.sparkSession.range(1).select(*[F.round(F.lit(None if v is None else float(v)), 6).alias(k) for k, v in values.items()])
+
+
+def many_rows(frame: Frame, rows: list[dict], *columns: str) -> DataFrame:
+    names = {"str": "string", "float": "double", "int": "long"}
+    schema = ", ".join(f"`{c}` {names[type(rows[0][c]).__name__]}" for c in columns)
+    df = frame.df.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in rows], schema)
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-QUERIES = {"q_pricing_summary": q_pricing_summary}
-ORACLES = {
-    "q_pricing_summary": """
+# -- scans, projection, filters ---------------------------------------------------
+
+
+@query("""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n
-FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2
-"""
-}
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def q_pricing_summary(t):
+    rows = t("lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).group_by("l_returnflag", "l_linestatus")
+    return rounded(rows.summarize(sum_qty=A.total("l_quantity"), avg_price=A.mean("l_extendedprice"), n=A.count()), "sum_qty", "avg_price", digits=4)
+
+
+@query("""
+SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
+def q_forecast_revenue(t):
+    rows = t("lineitem").filter((F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")) & S.between("l_discount", 0.05, 0.07) & (F.col("l_quantity") < 24))
+    return rounded(rows.summarize(revenue=A.dot("l_extendedprice", "l_discount")), "revenue", digits=4)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def q_filter_select(t):
+    return t("customer").filter((F.col("c_acctbal") > 5000) & (F.col("c_mktsegment") == "BUILDING")).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("""
+WITH x AS (SELECT event_id, nullif(event_type, 'error') AS k, CASE WHEN value > 20 THEN value END AS v FROM events)
+SELECT event_id FROM x WHERE NOT (k = 'click') AND (v > 30 OR k IS NULL OR v IS NULL)""")
+def q_filter_kleene(t):
+    x = t("events").mutate(k=F.nullif(F.col("event_type"), F.lit("error")), v=F.when(F.col("value") > 20, F.col("value")))
+    return x.filter(~(F.col("k") == "click") & ((F.col("v") > 30) | S.is_na("k") | S.is_na("v"))).select("event_id")
+
+
+@query("SELECT n_nationkey AS id, n_name FROM nation")
+def q_rename_drop(t):
+    return t("nation").rename("n_nationkey", "id").drop("n_regionkey", "no_such_column")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS doubled, 'x' AS tag FROM orders")
+def q_mutate(t):
+    return t("orders").mutate(doubled=F.col("o_totalprice") * 2, tag="x").select("o_orderkey", "doubled", "tag")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > o_custkey * 10")
+def q_filter_columns(t):
+    return t("orders").filter(F.col("o_orderkey") > F.col("o_custkey") * 10).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT count(*) AS n, 4::BIGINT AS k FROM supplier")
+def q_shape(t):
+    s = t("supplier")
+    return s.mutate(k=F.lit(s.ncol()).cast("long")).group_by("k").summarize(n=A.count())
+
+
+# -- missing values -----------------------------------------------------------------
+
+_NA = "SELECT l_orderkey, l_linenumber, l_returnflag AS g, CASE WHEN l_quantity <> 10 OR l_returnflag = 'R' THEN l_quantity END AS x, CASE WHEN l_quantity = 10 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END END AS why FROM lineitem"
+
+
+def _with_na(t) -> Frame:
+    x = t("lineitem").rename("l_returnflag", "g").mutate(x=F.when((F.col("l_quantity") != 10) | (F.col("g") == "R"), F.col("l_quantity")))
+    return x.with_reasons("x", F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd"))
+
+
+@query(f"""
+WITH d AS ({_NA}) SELECT g, CASE WHEN count(*) = count(x) THEN round(avg(x), 6) END AS m, CASE WHEN count(*) = count(x) THEN sum(x) END AS s,
+CASE WHEN count(*) = count(x) THEN min(x) END AS lo, CASE WHEN count(*) = count(x) THEN max(x) END AS hi, CASE WHEN count(*) = count(x) THEN round(stddev_samp(x), 6) END AS sd, round(avg(x), 6) AS m_skip
+FROM d GROUP BY g""")
+def q_kleene_aggregates(t):
+    out = _with_na(t).group_by("g").summarize(m=A.mean("x"), s=A.total("x"), lo=A.least("x"), hi=A.greatest("x"), sd=A.std_dev("x"), m_skip=A.mean("x", skip_na=True))
+    return rounded(out, "m", "sd", "m_skip")
+
+
+@query(f"WITH d AS ({_NA}) SELECT g, count(DISTINCT x) + max(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS n FROM d GROUP BY g")
+def q_n_distinct_na(t):
+    return _with_na(t).group_by("g").summarize(n=A.n_distinct("x"))
+
+
+@query(f"WITH d AS ({_NA}) SELECT l_orderkey, l_linenumber, coalesce(x, -1) AS x FROM d")
+def q_fill_na(t):
+    return _with_na(t).fill_na("x", -1.0).select("l_orderkey", "l_linenumber", "x")
+
+
+@query(f"WITH d AS ({_NA}) SELECT l_orderkey, l_linenumber, round(coalesce(x, (SELECT avg(x) FROM d)), 6) AS x FROM d")
+def q_impute_mean(t):
+    return rounded(_with_na(t).impute("x", "mean").select("l_orderkey", "l_linenumber", "x"), "x")
+
+
+@query(f"WITH d AS ({_NA}) SELECT l_orderkey, l_linenumber, CASE WHEN x IS NULL AND why = 'even' THEN (SELECT median(x) FROM d) ELSE x END AS x FROM d")
+def q_impute_only_for(t):
+    return _with_na(t).impute("x", "median", only_for=["even"]).select("l_orderkey", "l_linenumber", "x")
+
+
+@query(f"WITH d AS ({_NA}), m AS (SELECT x FROM d WHERE x IS NOT NULL GROUP BY x ORDER BY count(*) DESC, x LIMIT 1) SELECT l_orderkey, l_linenumber, coalesce(d.x, m.x) AS x FROM d, m")
+def q_impute_mode(t):
+    return _with_na(t).impute("x", "mode").select("l_orderkey", "l_linenumber", "x")
+
+
+@query(f"WITH d AS ({_NA}) SELECT l_orderkey, l_linenumber, x FROM d WHERE x IS NOT NULL OR why <> 'odd'")
+def q_filter_na_reason(t):
+    return _with_na(t).filter_na_reason("x", drop=["odd"]).select("l_orderkey", "l_linenumber", "x")
+
+
+@query(f"WITH d AS ({_NA}) SELECT CASE WHEN x IS NULL THEN why END AS reason, count(*) AS n FROM d GROUP BY 1")
+def q_na_reasons(t):
+    return _with_na(t).na_reasons("x").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH d AS ({_NA}) SELECT x, count(*) AS n FROM d GROUP BY x, CASE WHEN x IS NULL THEN why END")
+def q_count_with_reasons(t):
+    return _with_na(t).count("x")
+
+
+@query(f"WITH d AS ({_NA}) SELECT g, x FROM d WHERE x IS NOT NULL")
+def q_filter_na(t):
+    return _with_na(t).filter_na("x").select("g", "x")
+
+
+@query(f"WITH d AS ({_NA}) SELECT 'x' AS \"column\", count(*) AS n, count(*) - count(x) AS missing, round(100.0 * (count(*) - count(x)) / count(*), 6) AS percent FROM d UNION ALL SELECT 'g', count(*), count(*) - count(g), 0 FROM d")
+def q_missing_summary(t):
+    return rounded(impute.missing_summary(_with_na(t).select("x", "g").to_spark()), "percent")
+
+
+@query(f"WITH d AS ({_NA}) SELECT (x IS NULL)::INT::VARCHAR || (g IS NULL)::INT::VARCHAR AS pattern, count(*) AS n FROM d GROUP BY 1")
+def q_missing_patterns(t):
+    return impute.missing_patterns(_with_na(t).select("x", "g").to_spark())
+
+
+@query(f"WITH d AS ({_NA}) SELECT x IS NULL AS x, g IS NULL AS g FROM d")
+def q_imputed_mask(t):
+    return impute.imputed_mask(_with_na(t).select("x", "g").to_spark())
+
+
+# -- joins --------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'")
+def q_inner_join(t):
+    c = t("customer").filter(F.col("c_mktsegment") == "MACHINERY").rename("c_custkey", "o_custkey").select("o_custkey", "c_name")
+    return t("orders").inner_join(c, "o_custkey").select("o_orderkey", "c_name", "o_totalprice")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON o_custkey = c_custkey")
+def q_left_join(t):
+    o = t("orders").filter(F.col("o_totalprice") > 400000).rename("o_custkey", "c_custkey").select("c_custkey", "o_orderkey")
+    return t("customer").left_join(o, "c_custkey").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT a.n_nationkey, a.n_name, b.n_name AS n_name_right FROM nation a JOIN nation b USING (n_nationkey)")
+def q_join_suffix(t):
+    return t("nation").inner_join(t("nation").select("n_nationkey", "n_name"), "n_nationkey").select("n_nationkey", "n_name", "n_name_right")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def q_anti_join(t):
+    return t("customer").join(t("orders").rename("o_custkey", "c_custkey"), "c_custkey", how="left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def q_semi_join(t):
+    o = t("orders").filter(F.col("o_orderstatus") == "F").rename("o_custkey", "c_custkey")
+    return t("customer").join(o, "c_custkey", how="left_semi").select("c_custkey")
+
+
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1""")
+def q_multi_join(t):
+    n = t("nation").rename("n_regionkey", "r_regionkey").inner_join(t("region").filter(F.col("r_name") == "ASIA"), "r_regionkey").rename("n_nationkey", "k")
+    c = t("customer").rename("c_nationkey", "k").inner_join(n, "k").select("c_custkey", "n_name").rename("c_custkey", "o_custkey")
+    o = t("orders").inner_join(c, "o_custkey").select("o_orderkey", "n_name").rename("o_orderkey", "l_orderkey")
+    rows = t("lineitem").inner_join(o, "l_orderkey").mutate(net=F.col("l_extendedprice") * (1 - F.col("l_discount"))).group_by("n_name")
+    return rounded(rows.summarize(revenue=A.total("net")), "revenue", digits=2)
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), b AS (SELECT user_id, ts, value FROM events WHERE event_type = 'error')
+SELECT a.event_id, (SELECT max_by(b.value, b.ts) FROM b WHERE b.user_id = a.user_id AND b.ts <= a.ts) AS value FROM a""")
+def q_asof_join(t):
+    e = t("events")
+    right = e.filter(F.col("event_type") == "error").select("user_id", "ts", "value")
+    return e.filter(F.col("event_type") == "click").select("event_id", "user_id", "ts").asof_join(right, "ts", ["user_id"]).select("event_id", "value")
+
+
+@query("SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+def q_union_all(t):
+    return t("nation").rename("n_regionkey", "k").select("k").union_all(t("region").rename("r_regionkey", "k").select("k"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def q_intersect(t):
+    return t("customer").rename("c_nationkey", "k").select("k").intersect(t("supplier").rename("s_nationkey", "k").select("k"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def q_difference(t):
+    return t("customer").rename("c_custkey", "k").select("k").difference(t("orders").rename("o_custkey", "k").select("k"))
+
+
+# -- groups -------------------------------------------------------------------------
+
+
+@query("SELECT o_orderstatus, median(o_totalprice) AS med, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders GROUP BY 1")
+def q_median_quantile(t):
+    return rounded(t("orders").group_by("o_orderstatus").summarize(med=A.median("o_totalprice"), p90=A.quantile("o_totalprice", 0.9)), "p90")
+
+
+@query("SELECT l_returnflag, round(var_samp(l_quantity), 6) AS v, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1")
+def q_var_sd(t):
+    return rounded(t("lineitem").group_by("l_returnflag").summarize(v=A.var("l_quantity"), sd=A.std_dev("l_quantity")), "v", "sd")
+
+
+@query("SELECT user_id, arg_min(value, (ts, event_id)) AS first_value, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
+def q_first_last(t):
+    return t("events").order_by("ts", "event_id").group_by("user_id").summarize(first_value=A.first("value"), last_type=A.last("event_type"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def q_count_frequency(t):
+    return t("customer").count("c_mktsegment")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def q_distinct_keys(t):
+    return t("orders").order_by("o_orderdate", "o_orderkey").distinct("o_custkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part")
+def q_distinct_all(t):
+    return t("part").select("p_brand", "p_type").distinct()
+
+
+@query("SELECT l_returnflag, round(covar_samp(l_quantity, l_extendedprice), 4) AS cov, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def q_covariance(t):
+    out = t("lineitem").group_by("l_returnflag").summarize(cov=A.covariance("l_quantity", "l_extendedprice"), r=A.correlation("l_quantity", "l_extendedprice"))
+    return out.to_spark().select("l_returnflag", F.round("cov", 4).alias("cov"), F.round("r", 6).alias("r"))
+
+
+@query("SELECT count(*) AS n, round(avg(o_totalprice), 6) AS m FROM orders")
+def q_global_summary(t):
+    return rounded(t("orders").summarize(n=A.count(), m=A.mean("o_totalprice")), "m")
+
+
+# -- order, limits, reshape -----------------------------------------------------------
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5")
+def q_head(t):
+    return t("nation").order_by("n_nationkey").head(5).select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey DESC LIMIT 3")
+def q_tail(t):
+    return t("nation").order_by("n_nationkey").tail(3).select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 4 OFFSET 3")
+def q_slice(t):
+    return t("nation").order_by("n_nationkey").slice(3, 7).select("n_nationkey", "n_name")
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 7")
+def q_slice_min(t):
+    return t("part").order_by("p_partkey").slice_min("p_retailprice", 7).select("p_partkey", "p_retailprice")
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7")
+def q_slice_max(t):
+    return t("supplier").order_by("s_suppkey").slice_max("s_acctbal", 7).select("s_suppkey", "s_acctbal")
+
+
+@query("SELECT p_brand, p_size, p_partkey FROM part ORDER BY p_brand, p_size DESC, p_partkey")
+def q_arrange(t):
+    return t("part").order_by("p_partkey").arrange("p_brand", desc("p_size")).select("p_brand", "p_size", "p_partkey")
+
+
+@query("SELECT 100::BIGINT AS n, true AS all_known")
+def q_sample_n(t):
+    rows = t("orders").order_by("o_orderkey").sample_n(100, seed=7).mutate(k=F.col("o_orderkey").isNotNull())
+    return rows.df.agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("all_known"))
+
+
+@query("""
+SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'click') AS click, arg_min(value, event_id) FILTER (event_type = 'error') AS error FROM events WHERE event_type IN ('click', 'error') GROUP BY 1""")
+def q_pivot_wider(t):
+    e = t("events").filter(F.col("event_type").isin("click", "error")).order_by("event_id")
+    return e.pivot_wider("event_type", "value", ["user_id"], names=["click", "error"])
+
+
+@query("SELECT s_suppkey, 's_nationkey' AS name, s_nationkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 's_acctbal', s_acctbal FROM supplier")
+def q_pivot_longer(t):
+    return t("supplier").order_by("s_suppkey").pivot_longer(["s_nationkey", "s_acctbal"], id_cols=["s_suppkey"])
+
+
+# -- windows --------------------------------------------------------------------------
+
+
+@query("SELECT event_id, lag(value, 2) OVER w AS before, lead(value) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def q_lag_lead(t):
+    e = t("events").order_by("ts", "event_id")
+    return e.lag("value", "before", 2, ["user_id"]).lead("value", "after", 1, ["user_id"]).select("event_id", "before", "after")
+
+
+@query("SELECT event_id, round(sum(value) OVER w, 4) AS s, max(value) OVER w AS hi, min(value) OVER w AS lo FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def q_cumulate(t):
+    e = t("events").order_by("ts", "event_id")
+    out = e.cumulate("value", "s", "sum", ["user_id"]).cumulate("value", "hi", "max", ["user_id"]).cumulate("value", "lo", "min", ["user_id"])
+    return rounded(out.select("event_id", "s", "hi", "lo"), "s", digits=4)
+
+
+@query("""
+WITH x AS (SELECT *, CASE WHEN event_type <> 'error' THEN value END AS v FROM events)
+SELECT event_id, CASE WHEN count(*) OVER w = count(v) OVER w THEN round(sum(v) OVER w, 4) END AS s FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def q_cumsum_na(t):
+    e = t("events").mutate(v=F.when(F.col("event_type") != "error", F.col("value"))).order_by("ts", "event_id")
+    return rounded(e.cumulate("v", "s", "sum", ["user_id"]).select("event_id", "s"), "s", digits=4)
+
+
+@query("SELECT n_nationkey, round(product(1 + n_regionkey / 10.0) OVER (ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING), 4) AS p FROM nation")
+def q_cumprod(t):
+    n = t("nation").mutate(v=1 + F.col("n_regionkey") / 10.0).order_by("n_nationkey")
+    return rounded(n.cumulate("v", "p", "prod").select("n_nationkey", "p"), "p", digits=4)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS r FROM lineitem")
+def q_rank_average(t):
+    return t("lineitem").rank("l_quantity", "r", ["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", "r")
+
+
+# -- scalar functions -------------------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, trim(c_mktsegment || ' ') AS t, length(c_name)::BIGINT AS n, contains(c_name, '99') AS c, starts_with(c_name, 'Cust') AS s, ends_with(c_name, '7') AS e,
+replace(c_name, '0', 'o') AS r, CASE WHEN length(c_mktsegment) >= 10 THEN c_mktsegment ELSE lpad(c_mktsegment, 10, '*') END AS p, sha256(c_name) AS h FROM customer""")
+def q_strings(t):
+    return t("customer").to_spark().select(
+        "c_custkey", S.str_upper("c_name").alias("u"), S.str_lower("c_name").alias("l"), S.str_trim(F.concat("c_mktsegment", F.lit("  "))).alias("t"), S.str_len("c_name").alias("n"),
+        S.str_contains("c_name", "99").alias("c"), S.str_starts("c_name", "Cust").alias("s"), S.str_ends("c_name", "7").alias("e"), S.str_replace("c_name", "0", "o").alias("r"), S.str_pad("c_mktsegment", 10, "*").alias("p"), S.sha256("c_name").alias("h"),
+    )
+
+
+@query("SELECT p_partkey, len(string_split(p_name, ' '))::INTEGER AS n, string_split(p_name, ' ')[1] AS first FROM part")
+def q_str_split(t):
+    parts = S.str_split("p_name", " ")
+    return t("part").to_spark().select("p_partkey", F.size(parts).alias("n"), parts[0].alias("first"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN '-Infinity'::DOUBLE ELSE round(ln(abs(l_discount)), 6) END AS a, round(log10(l_quantity), 6) AS b, round(log2(l_quantity), 6) AS c, round(exp(l_discount), 6) AS d, round(sqrt(l_quantity), 6) AS e,
+floor(l_extendedprice)::DOUBLE AS f, ceil(l_extendedprice)::DOUBLE AS g, round(sin(l_quantity), 6) AS h, round(cos(l_quantity), 6) AS i, round(power(l_quantity, 1.5), 6) AS j, least(greatest(l_quantity, 10), 20) AS k, abs(l_quantity - 25) AS m FROM lineitem""")
+def q_math(t):
+    return t("lineitem").to_spark().select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(S.log(F.abs("l_discount")), 6).alias("a"), r6(S.log("l_quantity", 10), "b"), r6(S.log("l_quantity", 2), "c"), r6(S.exp("l_discount"), "d"), r6(S.sqrt("l_quantity"), "e"),
+        S.floor("l_extendedprice").alias("f"), S.ceil("l_extendedprice").alias("g"), r6(S.sin("l_quantity"), "h"), r6(S.cos("l_quantity"), "i"), r6(S.power("l_quantity", 1.5), "j"), S.clamp("l_quantity", 10.0, 20.0).alias("k"), S.absolute(F.col("l_quantity") - 25).alias("m"),
+    )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' ELSE 'low' END AS band, o_totalprice BETWEEN 100000 AND 200000 AS middle, coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS c,
+CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_totalprice > 0 THEN 'Infinity'::DOUBLE END ELSE round(o_totalprice / (o_orderkey % 3), 6) END AS q FROM orders""")
+def q_conditionals(t):
+    return t("orders").to_spark().select(
+        "o_orderkey", S.if_else(F.col("o_totalprice") > 200000, "high", "low").alias("band"), S.between("o_totalprice", 100000, 200000).alias("middle"),
+        S.coalesce(F.nullif(F.col("o_orderstatus"), F.lit("P")), F.col("o_orderpriority")).alias("c"), F.round(S.divide("o_totalprice", F.col("o_orderkey") % 3), 6).alias("q"),
+    )
+
+
+@query("SELECT p_partkey, sign(p_retailprice) * floor(abs(p_retailprice) * 10.0 + 0.5) / 10.0 AS r FROM part")
+def q_round(t):
+    return t("part").to_spark().select("p_partkey", S.round_half_away("p_retailprice", 1).alias("r"))
+
+
+@query("SELECT event_id, try_cast(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, CASE WHEN value > 50 THEN 'true' ELSE '1x' END IN ('true', '1') AS b, CAST(event_id AS VARCHAR) AS s FROM events")
+def q_conversions(t):
+    return t("events").to_spark().select("event_id", S.to_int(F.nullif(F.regexp_extract("props", "[0-9]+", 0), F.lit("")), strict=False).alias("k"), S.to_bool(F.when(F.col("value") > 50, "true").otherwise("1x")).alias("b"), S.to_string("event_id").alias("s"))
+
+
+# -- vectors ------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, round(list_sum(v), 6) AS s, round(list_avg(v), 6) AS m, list_min(v) AS lo, list_max(v) AS hi, round(list_inner_product(v, v), 6) AS d, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e""")
+def q_vector_reductions(t):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return t("embeddings").to_spark().select("vec_id", r6(V.vec_sum(v), "s"), r6(V.vec_mean(v), "m"), V.vec_min(v).alias("lo"), V.vec_max(v).alias("hi"), r6(V.vec_dot(v, v), "d"), r6(V.vec_norm(v), "norm"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, round(ln(list_sum(list_transform(v, lambda x: exp(x)))), 6) AS lse, round(exp(v[1]) / list_sum(list_transform(v, lambda x: exp(x))), 6) AS first FROM e""")
+def q_softmax(t):
+    return t("embeddings").to_spark().select("vec_id", r6(V.log_sum_exp("embedding"), "lse"), r6(V.softmax("embedding")[0], "first"))
+
+
+@query("""
+SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS c FROM embeddings a, embeddings b WHERE b.vec_id = 0""")
+def q_cosine(t):
+    zero = F.broadcast(t("embeddings").to_spark().filter("vec_id = 0").select(F.col("embedding").alias("z")))
+    both = t("embeddings").to_spark().crossJoin(zero)
+    wide = [F.transform(c, lambda x: x.cast("double")) for c in ("embedding", "z")]
+    return both.select("vec_id", r6(V.cosine(*wide), "c"))
+
+
+# -- SQL ------------------------------------------------------------------------------------
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS m FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+def q_sql_single(t):
+    f = t("customer")
+    return query_sql(f.df.sparkSession, "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS m FROM df WHERE c_acctbal > 0 GROUP BY c_mktsegment", f)
+
+
+@query("SELECT n_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n_name HAVING count(*) > 3")
+def q_sql_join(t):
+    f = {"customer": t("customer"), "nation": t("nation")}
+    return query_sql(f["nation"].df.sparkSession, "SELECT n_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n_name HAVING count(*) > 3", f)
+
+
+@query("WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) SELECT o_custkey, round(s, 4) AS s FROM t WHERE s > (SELECT avg(s) * 2 FROM t)")
+def q_sql_cte(t):
+    f = t("orders")
+    return query_sql(f.df.sparkSession, "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM df GROUP BY 1) SELECT o_custkey, round(s, 4) AS s FROM t WHERE s > (SELECT avg(s) * 2 FROM t)", f)
+
+
+# -- models -----------------------------------------------------------------------------------
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
+def q_ols(t):
+    x = t("lineitem")
+    m = linear.ols("l_extendedprice ~ l_quantity", x.df)
+    return one_row(x, slope=m.coef[1], intercept=m.coef[0], r2=m.stats["r_squared"])
+
+
+@query("""
+WITH d AS (SELECT l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS x, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS y FROM lineitem) SELECT round(sum(x * y) / sum(x * x), 6) AS slope FROM d""")
+def q_fixed_effects(t):
+    x = t("lineitem")
+    return one_row(x, slope=linear.feols("l_extendedprice ~ l_quantity | l_suppkey", x.df).coef[0])
+
+
+@query("SELECT round(covar_pop(l_extendedprice, l_tax) / covar_pop(l_quantity, l_tax), 4) AS slope FROM lineitem")
+def q_instruments(t):
+    x = t("lineitem")
+    return one_row(x, slope=linear.iv("l_extendedprice ~ l_quantity | l_tax", x.df).coef[1]).select(F.round("slope", 4).alias("slope"))
+
+
+@query()
+def q_logistic(t):
+    x = t("orders").mutate(y=(F.col("o_orderstatus") == "F").cast("int"), k=F.col("o_totalprice") / 100000)
+    return many_rows(x, linear.logistic("y ~ k", x.df).tidy(), "term", "estimate", "std_error", "statistic", "p_value")
+
+
+@query()
+def q_poisson(t):
+    x = t("lineitem").mutate(k=F.col("l_linenumber").cast("double"))
+    return many_rows(x, linear.poisson("l_quantity ~ k", x.df).tidy(), "term", "estimate", "std_error")
+
+
+@query()
+def q_lasso(t):
+    x = t("lineitem")
+    p = linear.cv_glmnet("l_extendedprice ~ l_quantity + l_discount + l_tax", x.df, fold_by="l_orderkey")
+    return one_row(x, lambda_min=p.lambda_min, **{k.strip("()").lower(): v for k, v in p.coef().items()})
+
+
+@query()
+def q_robust_errors(t):
+    x = t("lineitem")
+    m = linear.ols("l_extendedprice ~ l_quantity", x.df, cluster="l_suppkey")
+    return one_row(x, classical=m.cov[1, 1], hc0=m.vcov("HC0")[1, 1], hc1=m.vcov("HC1")[1, 1], hc2=m.vcov("HC2")[1, 1], hc3=m.vcov("HC3")[1, 1], cluster=m.vcov("cluster", "l_suppkey")[1, 1])
+
+
+@query()
+def q_mixture(t):
+    x = t("orders").mutate(p=F.col("o_totalprice") / 1000)
+    m = mixture.gmm(x.df, ["p"], 2)
+    return many_rows(x, [dict(k=i, weight=float(m["weights"][i]), mean=float(m["means"][i, 0])) for i in range(2)], "k", "weight", "mean")
+
+
+@query("""
+WITH g AS (SELECT l_returnflag AS k, avg(l_quantity) AS m, var_samp(l_quantity) AS v, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1), a AS (SELECT * FROM g WHERE k = 'A'), b AS (SELECT * FROM g WHERE k = 'R')
+SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS statistic, round(a.m - b.m, 6) AS difference FROM a, b""")
+def q_welch_t(t):
+    x = t("lineitem").filter(F.col("l_returnflag").isin("A", "R"))
+    r = hypothesis.t_test(x.df, "l_quantity", "l_returnflag")
+    return one_row(x, statistic=r["statistic"], difference=r["difference"])
+
+
+@query("WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT round(sum(n * n)::DOUBLE * count(*) / sum(n) - sum(n), 6) AS statistic, count(*)::DOUBLE - 1 AS df FROM c")
+def q_chisq(t):
+    x = t("customer")
+    r = hypothesis.chisq_test(x.df, "c_mktsegment")
+    return one_row(x, statistic=r["statistic"], df=r["df"])
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS estimate FROM lineitem")
+def q_cor_test(t):
+    x = t("lineitem")
+    return one_row(x, estimate=hypothesis.cor_test(x.df, "l_quantity", "l_extendedprice")["estimate"])
+
+
+@query("SELECT count(*) = count(DISTINCT s_suppkey) AND min(s_acctbal) >= -1000 AND max(s_acctbal) <= 10000 AND count(*) >= 10 AS holds, 4::BIGINT AS rules FROM supplier")
+def q_contract(t):
+    x = t("supplier")
+    c = contracts.new_contract("supplier").expect_unique("s_suppkey").expect_range("s_acctbal", -1000, 10000).expect_min_sample_size(10).expect_column_names("s_name")
+    r = contracts.verify(c, x.df)
+    return x.df.sparkSession.createDataFrame([(r["holds"], len(r["rules"]))], "holds boolean, rules long")
+
+
+@query("WITH q AS (SELECT quantile_cont(s_acctbal, 0.25) AS a, quantile_cont(s_acctbal, 0.75) AS b FROM supplier) SELECT round(avg((s_acctbal < a - 0.2 * (b - a) OR s_acctbal > b + 0.2 * (b - a))::INT), 6) AS share FROM supplier, q")
+def q_outlier_fence(t):
+    x = t("supplier")
+    r = contracts.verify(contracts.new_contract("s").expect_outlier_rule("s_acctbal", 0.2, 1.0), x.df)
+    return one_row(x, share=r["rules"][0]["found"])
+
+
+_SURVIVAL = "SELECT (l_linenumber * 3 + l_quantity % 5) AS time, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS event, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS arm FROM lineitem"
+
+
+def _survival(t):
+    return t("lineitem").mutate(time=F.col("l_linenumber") * 3 + F.col("l_quantity") % 5, event=F.when(F.col("l_returnflag") == "N", 0).otherwise(1), arm=F.when(F.col("l_linestatus") == "F", 1).otherwise(0))
+
+
+@query(f"""
+WITH s AS ({_SURVIVAL}), c AS (SELECT time, sum(event) AS d, count(*) AS m FROM s GROUP BY 1), r AS (SELECT time, d, sum(m) OVER (ORDER BY time DESC) AS n FROM c),
+e AS (SELECT * FROM r WHERE d > 0) SELECT time, round(exp(sum(ln(CASE WHEN d < n THEN 1 - d / n ELSE 1e-300 END)) OVER (ORDER BY time)), 6) AS survival FROM e""")
+def q_kaplan_meier(t):
+    return rounded(survival.kaplan_meier(_survival(t).df, "time", "event").select("time", "survival"), "survival")
+
+
+@query(f"""
+WITH s AS ({_SURVIVAL}), c AS (SELECT time, sum(event) AS d, count(*) AS m FROM s GROUP BY 1), r AS (SELECT time, d, sum(m) OVER (ORDER BY time DESC) AS n FROM c)
+SELECT time, round(sum(d / n) OVER (ORDER BY time), 6) AS hazard FROM r WHERE d > 0""")
+def q_nelson_aalen(t):
+    return rounded(survival.nelson_aalen(_survival(t).df, "time", "event").select("time", "hazard"), "hazard")
+
+
+@query(f"""
+WITH s AS ({_SURVIVAL}), c AS (SELECT time, sum(event) AS d, sum(event * arm) AS d1, count(*) AS m, sum(arm) AS m1 FROM s GROUP BY 1),
+r AS (SELECT time, d, d1, sum(m) OVER (ORDER BY time DESC) AS n, sum(m1) OVER (ORDER BY time DESC) AS n1 FROM c)
+SELECT sum(d1)::DOUBLE AS observed, round(sum(d * n1 / n), 6) AS expected, round(sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END), 6) AS variance FROM r WHERE d > 0""")
+def q_logrank(t):
+    x = _survival(t)
+    r = survival.logrank(x.df, "time", "event", "arm")
+    return one_row(x, observed=r["observed"], expected=r["expected"], variance=r["variance"])
+
+
+@query()
+def q_cox(t):
+    x = _survival(t)
+    r = survival.cox(x.df, "time", "event", ["arm", "l_discount"])
+    return many_rows(x, [dict(name=n, coef=float(b), std_error=float(s)) for n, b, s in zip(r["names"], r["coef"], r["std_error"])], "name", "coef", "std_error")
+
+
+@query("""
+WITH c AS (SELECT l_linestatus = 'F' AS t, l_linenumber > 3 AS p, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2)
+SELECT round(sum(CASE WHEN t = p THEN m ELSE -m END), 6) AS att FROM c""")
+def q_did(t):
+    x = t("lineitem").mutate(tr=(F.col("l_linestatus") == "F").cast("int"), po=(F.col("l_linenumber") > 3).cast("int"))
+    return one_row(x, att=causal.did_2x2(x.df, "l_quantity", "tr", "po")["att"])
+
+
+@query("""
+WITH g AS (SELECT l_linenumber - 4 AS k, avg(l_quantity) FILTER (l_linestatus = 'F') - avg(l_quantity) FILTER (l_linestatus <> 'F') AS d FROM lineitem GROUP BY 1)
+SELECT k::BIGINT AS k, round(d - (SELECT d FROM g WHERE k = -1), 6) AS estimate FROM g""")
+def q_event_study(t):
+    x = t("lineitem").mutate(tr=(F.col("l_linestatus") == "F").cast("int"), rel=F.col("l_linenumber") - 4)
+    return rounded(causal.event_study(x.df, "l_quantity", "tr", "rel").select("k", "estimate"), "estimate")
+
+
+@query("""
+WITH d AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1), c AS (SELECT h, v - avg(v) OVER () AS x FROM d), l AS (SELECT x, lag(x) OVER (ORDER BY h) AS l1, lag(x, 2) OVER (ORDER BY h) AS l2 FROM c)
+SELECT 0 AS lag, 1.0::DOUBLE AS acf UNION ALL SELECT 1, round(sum(x * l1) / sum(x * x), 6) FROM l UNION ALL SELECT 2, round(sum(x * l2) / sum(x * x), 6) FROM l""")
+def q_acf(t):
+    hourly = t("events").to_spark().groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
+    return rounded(timeseries.acf(hourly, "v", "h", 2), "acf")
+
+
+@query()
+def q_decompose(t):
+    daily = t("events").to_spark().groupBy(F.hour("ts").alias("i")).agg(F.avg("value").alias("v"))
+    return rounded(timeseries.decompose(daily, "v", "i", 6).select("i", "v", "trend", "seasonal", "remainder"), "v", "trend", "seasonal", "remainder")
+
+
+@query()
+def q_holt_winters(t):
+    e = t("events").to_spark().groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.avg("value").alias("v"))
+    return rounded(timeseries.holt_winters(e, "v", "h", 6, by=["event_type"]).select("event_type", "h", "v", "fitted"), "v", "fitted")
+
+
+@query()
+def q_kalman(t):
+    e = t("events").to_spark().groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.avg("value").alias("v"))
+    return rounded(timeseries.kalman(e, "v", "h", 1.0, 10.0, by=["event_type"]).select("event_type", "h", "filtered", "smoothed"), "filtered", "smoothed")
+
+
+_DIF = "SELECT l_partkey % 7 < l_linenumber AS i1, l_suppkey % 5 < l_linenumber AS i2, l_linestatus = 'F' AS focal, least(4, greatest(0, floor((l_quantity / 10 - 2.5 + 2.5) / 1.0))) AS s FROM lineitem"
+
+
+@query(f"""
+WITH d AS ({_DIF}), l AS (SELECT 'i1' AS item, i1 AS y, focal, s FROM d UNION ALL SELECT 'i2', i2, focal, s FROM d),
+c AS (SELECT item, s, count(*) FILTER (NOT focal AND y) AS a, count(*) FILTER (NOT focal AND NOT y) AS b, count(*) FILTER (focal AND y) AS c, count(*) FILTER (focal AND NOT y) AS d, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT item, round(sum(a * d / n) / sum(b * c / n), 6) AS odds_ratio FROM c GROUP BY 1""")
+def q_mantel_haenszel(t):
+    x = t("lineitem").mutate(i1=(F.col("l_partkey") % 7 < F.col("l_linenumber")).cast("int"), i2=(F.col("l_suppkey") % 5 < F.col("l_linenumber")).cast("int"), focal=(F.col("l_linestatus") == "F").cast("int"), theta=F.col("l_quantity") / 10 - 2.5)
+    return rounded(irt_models.mantel_haenszel_dif(x.df, ["i1", "i2"], "focal", "theta").select("item", "odds_ratio"), "odds_ratio")
+
+
+@query()
+def q_item_response(t):
+    cells = {f"i{k}": (F.pmod(F.xxhash64("o_orderkey", F.lit(k)), F.lit(100)) < F.lit(20 + 15 * k) + F.col("o_custkey") % 30).cast("int") for k in range(4)}
+    x = t("orders").mutate(**cells)
+    m = irt_models.fit_dichotomous(x.df, list(cells), "2pl", rounds=15)
+    return many_rows(x, [dict(item=i, a=float(a), b=float(b)) for i, a, b in zip(m["items"], m["a"], m["b"])], "item", "a", "b")
+
+
+@query()
+def q_mixed_model(t):
+    x = t("lineitem")
+    m = multilevel.mixed_model(x.df, "l_extendedprice", ["l_quantity"], "l_suppkey")
+    return one_row(x, intercept=m["coef"][0], slope=m["coef"][1], icc=m["icc"])
+
+
+@query()
+def q_random_effects(t):
+    x = t("lineitem")
+    m = panel.random_effects(x.df, "l_extendedprice", ["l_quantity"], "l_suppkey")
+    return one_row(x, intercept=m["coef"][0], slope=m["coef"][1], sigma_u=m["sigma_u"], sigma_e=m["sigma_e"])
+
+
+@query()
+def q_normal_distribution(t):
+    x = t("customer").mutate(z=(F.col("c_acctbal") - 4500) / 3000).df
+    d = D.normal()
+    return x.select("c_custkey", r6(d.column("cdf", "z"), "p"), r6(d.column("density", "z"), "f"))
+
+
+@query()
+def q_bootstrap_mean(t):
+    x = t("orders")
+    return x.df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(hypothesis.bootstrap_mean(x.df, "o_totalprice", 20, 3))], "replica long, mean double")
+
+
+# -- windows over time ------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
+def q_tumbling_window(t):
+    return windows.tumbling(t("events").df, "ts", "1 hour", ["event_type"])
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def q_running_totals(t):
+    return rounded(windows.running_totals(t("events").df, "user_id", "value"), "total", digits=4)
