@@ -89,8 +89,9 @@ def doubly_robust(df: DataFrame, outcome: str, treated: str, covariates: list[st
 def synthetic_control(df: DataFrame, unit: str, time: str, outcome: str, treated_unit, start: float, steps: int = 20_000) -> dict:
     """Simplex weights of the other units that fit the treated unit before ``start``; a time-by-unit matrix is the panel's size."""
     wide = df.filter(F.col(outcome).isNotNull()).groupBy(time).pivot(unit).agg(F.avg(outcome)).orderBy(time).toPandas().set_index(time).dropna(axis=1)
-    y = wide[treated_unit].to_numpy(float)
-    x = wide.drop(columns=[treated_unit])
+    wide.columns = [str(c) for c in wide.columns]  # as pivot names them
+    y = wide[str(treated_unit)].to_numpy(float)
+    x = wide.drop(columns=[str(treated_unit)])
     pre = wide.index.to_numpy() < start
     a, w = x.to_numpy(float)[pre], np.full(x.shape[1], 1 / x.shape[1])
     scale = max(np.abs(a.T @ a).max() / max(pre.sum(), 1), 1e-12)

@@ -75,7 +75,7 @@ class Fit:
     def augment(self, df: DataFrame) -> DataFrame:
         """``df`` with .fitted, .residual, whether the row was used, and why not."""
         out = self.predict(df)
-        used = F.col(".fitted").isNotNull() & F.col(self.made.formula.response).isNotNull()
+        used = F.col("`.fitted`").isNotNull() & F.col(self.made.formula.response).isNotNull()
         why = F.lit(None).cast("string")
         for x in [self.made.formula.response, *self.made.sources]:
             why = F.coalesce(why, F.when(F.col(x).isNull(), F.lit(f"missing {x}")))

@@ -87,7 +87,7 @@ def mixed_model(df: DataFrame, outcome: str, regressors: list[str], group: str,
 
 def random_effects_of(model: dict) -> DataFrame:
     """The groups' predicted random effects, computed where the groups are."""
-    beta, g, z, names = model["coef"], model["relative"], model["slopes"], model["columns"]
+    beta, g, z, names, group = model["coef"], model["relative"], model["slopes"], model["columns"], model["group"]
     p = len(beta) + 1
 
     def run(batches):
@@ -96,7 +96,7 @@ def random_effects_of(model: dict) -> DataFrame:
             r = s[:, z, -1] - s[:, z][:, :, : p - 1] @ beta
             zz = s[:, z][:, :, z]
             u = np.einsum("ij,gj->gi", g, np.linalg.solve(np.eye(len(z)) + zz @ g, r[:, :, None])[:, :, 0])
-            yield x[[model["group"]]].assign(effects=list(u))
+            yield x[[group]].assign(effects=list(u))
 
     kind = dict(model["table"].dtypes)[model["group"]]
     return model["table"].mapInPandas(run, f"`{model['group']}` {kind}, effects array<double>")

@@ -129,7 +129,7 @@ def auto_ar(df: DataFrame, value: str, order: str, most: int = 4, d: int = 0) ->
 
 def _per_series(df, by, run, schema):
     """Apply ``run`` to each series in order; one series is one task's work, since each value needs the one before."""
-    keys = list(by) or [F.lit(0)]
+    keys = list(by) or [F.lit("all").alias("__series")]
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
