@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import frugal
 from .words import slices
 
 #: Where the vocabulary files are; the folder's path can be set by this variable of the environment.
@@ -252,7 +253,7 @@ _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string
 
 def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``digests`` with the column ids: the token ids as little-endian unsigned 32-bit integers."""
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path, True), _DIGESTS + ", ids binary")
+    return frugal(docs).select("doc_id", "text").mapInArrow(_encoded(path, True), _DIGESTS + ", ids binary")
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -264,7 +265,7 @@ def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [c.decode(np.frombuffer(x or b"", dtype="<u4")).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return frugal(tokens).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -274,7 +275,7 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     are independent, so repeated rows give repeated results; an empty table
     gives an empty result. Ids and decoded texts never leave the task.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path, False), _DIGESTS)
+    return frugal(docs).select("doc_id", "text").mapInArrow(_encoded(path, False), _DIGESTS)
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

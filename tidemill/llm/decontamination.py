@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import store
+from .storage import frugal, store
 from .words import ALNUM, hash_words, texts_of
 
 #: Words in a window.
@@ -195,7 +195,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> D
     for p in range(passes):
         part = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p) if passes > 1 else tests
         windows = Windows([(r.item, r.text) for r in part.collect()])
-        texts = docs.select(F.col("_row" if passes > 1 else key).alias("key"), F.col("text").cast("binary").alias("text"))
+        texts = frugal(docs).select(F.col("_row" if passes > 1 else key).alias("key"), F.col("text").cast("binary").alias("text"))
         index = store(texts.mapInArrow(_index(windows), _INDEX), "postings")
         rarity = np.zeros(len(windows.vocabulary), dtype=np.int64)
         for r in index.select("terms", "offsets").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import frugal
 from .words import texts_of
 
 #: Pages whose blocks train the classifier, at most; chosen by a hash of page_id.
@@ -283,7 +284,7 @@ def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             out = [main_text(t.decode("utf-8", "replace"), weights) for t in texts]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return frugal(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import MinHasher, shingle_sets
-from .storage import store
+from .storage import frugal, store
 from .words import mix, spark_int, texts_of
 
 #: Words in a shingle and the share, in hundredths, that two sets must have in common.
@@ -184,7 +184,7 @@ def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, set size, two digests of the set, its bands' keys and one byte of each minimum."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, _SIGNED)
+    return frugal(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, _SIGNED)
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:

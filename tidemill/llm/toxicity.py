@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import store
+from .storage import frugal, store
 from .words import ALNUM, hash_words, spark_int, texts_of
 
 #: Labelled rows of each label used for training, at most; chosen by a hash of doc_id.
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(known.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
-    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "toxic")
+    texts = frugal(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "toxic")
     sample = store(texts.mapInArrow(_sample_features, "doc_id long, toxic int, features array<long>, marks array<boolean>"), "sample")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -245,7 +245,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for rows, texts in texts_of(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.score(texts), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return frugal(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -255,7 +255,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for rows, texts in texts_of(batches):
             yield rows.filter(pa.array(model.score(texts) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return frugal(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
