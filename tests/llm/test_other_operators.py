@@ -1,0 +1,232 @@
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemill.llm import chat, html, licenses, nearest, pii, toxicity
+
+
+def luhn(s):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(int(c) for c in reversed(s))) % 10 == 0
+
+
+PII = [
+    (1, "mail the.72@mail3.example.com, again the.72@mail3.example.com or Bob.Q+x@Foo.org; call +1 (017) 555-7713"),
+    (2, "card 4845168114407329 and 4845-1681-1440-7329, not 4845168114407328; ip 233.254.104.120."),
+    (3, "born 1984-02-29, 31.12.1999, 12/25/2001, not 2001-02-30; ssn 123-45-6789, not 000-12-3456"),
+    (4, 'iban DE89370400440532013000, GB29 NWBK 6016 1331 9268 19; token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"'),
+    (5, None),
+    (6, ""),
+    (7, "version 3.1, 42 apples, 1234567"),
+    (8, "the.72@mail3.example.com"),
+]
+
+
+def test_pseudonyms(spark):
+    df = spark.createDataFrame([(*r, "x") for r in PII], "doc_id long, text string, _kind string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    assert got[5].text is None and got[6].text == "" and got[7].text == PII[6][1] and got[7].pii_kinds == []
+    a, b, c = re.findall(r"\S+@[\w.]+\w", got[1].text)
+    assert a == b == got[8].text and a != "the.72@mail3.example.com" and re.fullmatch(r"[a-z]{3}\.\d\d@mail3\.example\.com", a) and c.endswith("@Foo.org")
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text) and "555-7713" not in got[1].text
+    x, y = re.findall(r"\d{16}", got[2].text)
+    z = re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", got[2].text)[0].replace("-", "")
+    assert luhn(x) and x == z != "4845168114407329" and y == "4845168114407328"
+    assert "233.254.104.120" not in got[2].text and "2001-02-30" in got[3].text and "000-12-3456" in got[3].text
+    assert got[3].pii_kinds == ["date", "date", "date", "ssn"] and got[4].pii_kinds == ["iban", "iban", "secret"]
+    for iban in re.findall(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})+(?: ?[A-Z0-9]{1,3})?", got[4].text):
+        s = iban.replace(" ", "")
+        assert int("".join(str(int(ch, 36)) for ch in s[4:] + s[:4])) % 97 == 1
+    assert len({len(t) for t in (got[3].text, PII[2][1])}) == 1
+    other = pii.pseudonymised(df, "another key").filter("doc_id = 8").collect()[0].text
+    assert other not in (a, "the.72@mail3.example.com")
+    assert pii.pseudonymised(df.limit(0)).count() == 0
+
+
+def test_permutations_are_bijective(spark):
+    two = spark.range(100).select(F.format_string("%02d", "id").alias("v"))
+    assert two.select(F.expr(pii._permuted("v", "0123456789", "t", "k"))).distinct().count() == 100
+    days = spark.range(146097).select(F.expr(pii._number("id", 0, 189, 773, "d", "k")).alias("d"))
+    assert tuple(days.agg(F.count_distinct("d"), F.min("d"), F.max("d")).collect()[0]) == (146097, 0, 146096)
+
+
+def test_licences(spark):
+    texts = [
+        ("foo\nReleased under the MIT License.\n\nLicensed under CC BY-NC 4.0.", ["MIT", "CC-BY-NC"]), ("This work is licensed under the GNU General Public License, version 3.", ["GPL"]), ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("This font is licensed under the SIL Open Font License, Version 1.1.", ["unknown"]), ("The software was released to the public in the spring.", []), (None, []), ("", []), ("of the and\nrenlo kami", []), ("x " * 30_000 + "\nReleased under the MIT License.", ["MIT"]),
+    ]
+    df = spark.createDataFrame([(i, t, "w") for i, (t, _) in enumerate(texts)], "doc_id long, text string, words string")
+    got = {r.doc_id: [n.family for n in r.notices] for r in licenses.scanned(df).collect()}
+    assert got == {i: f for i, (_, f) in enumerate(texts)}
+    assert licenses.scanned(df.limit(0)).count() == 0
+
+
+def test_licence_templates_are_recognised(spark):
+    rows = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, family string")
+    got = licenses.scanned(df).join(df, "doc_id").select(F.expr("notices[0].family").alias("g"), "family").collect()
+    assert sum(r.g == r.family for r in got) >= 0.97 * len(rows)
+
+
+def cheapest(roles):
+    """Least cost by trying every repair."""
+    best = 1 << 30
+    for way in itertools.product(*[chat._options(r) for r in roles]):
+        state, cost = chat.START, 0
+        for s, t, c, _, _ in way:
+            if s != state:
+                break
+            state, cost = t, cost + c
+        else:
+            best = min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("roles", [[2, 3, 2, 3], [3], [2, 2, 3], [1, 3, 2], [2, 1, 3], [0, 0, 3], [3, 3, 2], [1, 1, 2]])
+def test_repair_is_cheapest_and_legal(roles):
+    steps = chat.repair(roles)
+    cost, state = 0, chat.START
+    for r, (to, action, inserted) in zip(roles, steps):
+        way = [w for w in chat._options(r) if w[0] == state and w[1] == to and w[3] == action and w[4] == inserted]
+        cost, state = cost + way[0][2], to
+    assert cost == cheapest(roles)
+    assert int(chat._crossing(roles)[chat.START].min()) == cost
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_chat_rendering(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART", part)
+    rng = np.random.Generator(np.random.PCG64(2))
+    names = ["user", "assistant", "system", "Human", "bot", None, "narrator"]
+    rows = [(c, t, names[rng.integers(7)], None if t == 3 else f"t{c}-{t}") for c in range(12) for t in range(int(rng.integers(1, 40)))]
+    rows += [(None, 1, "user", "lone"), (99, None, "assistant", "x" * 50_000), (5, 1, "user", "again")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, place int")
+    got = {}
+    for r in chat.repaired(df).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
+    for conv, out in got.items():
+        out.sort(key=lambda r: r.place)
+        assert [r.place for r in out] == list(range(len(out)))
+        given = sorted((r for r in rows if r[0] == conv), key=key)
+        steps = chat.repair([chat._role(r[2]) for r in given])
+        total = lambda ss: sum(next(w[2] for w in chat._options(chat._role(g[2])) if (w[0], w[1], w[3], w[4]) == (b, s, a, i)) for g, b, (s, a, i) in zip(given, [chat.START, *[x[0] for x in ss]], ss))
+        mine = [(chat.ROLES.index(r.role) + 1, r.action, chat.ROLES.index(r.inserted) + 1 if r.inserted else 0) for r in out]
+        assert total(mine) == total(steps)
+        text = "".join(r.fragment for r in out)
+        turns = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", text, re.S)
+        assert "".join(f"<|{a}|>\n{b}<|end|>\n" for a, b in turns) == text
+        seq = [a for a, _ in turns if a != "system"]
+        assert seq == ["user", "assistant"] * (len(seq) // 2) + ["user"] * (len(seq) % 2) and all(a != "system" for a, _ in turns[1:])
+    assert chat.repaired(df.limit(0)).count() == 0
+
+
+PAGES = [
+    ("<html><body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>Hello &amp; <b>bold</b>\n world.</p><p>More<br>text</p></article><footer>c</footer>", "T\n\nHello & bold world.\n\nMore text"),
+    ('<body><div class="header">Site</div><div id="content"><h2>Head</h2><p>Body text. It goes on.</p><div class="sidebar">Side text. Long, too.</div><p>End.</p></div><section class="comments"><p>Nice article.</p></section><form>Name</form>', "Head\n\nBody text. It goes on.\n\nEnd."),
+    ("<script>var a='<p>x</p>'</script><style>p{}</style><!-- <p>no</p> -->", ""),
+    (None, ""),
+    ("", ""),
+    ("<article><p>cut off &am", "cut off &am"),
+    ("<article><p>a<p>b<li>c</article>", "a\n\nb\n\nc"),
+]
+
+
+def test_main_text(spark):
+    df = spark.createDataFrame([(i, f"u{i}", h, 1) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in html.extracted(df).collect()}
+    assert got == {i: (f"u{i}", t, len(t)) for i, (_, t) in enumerate(PAGES)}
+    assert html.extracted(df.limit(0)).count() == 0
+    big = "<article>" + "<p>word word word.</p>" * 5000 + "</article>"
+    assert html.main_text(big).count("\n\n") == 4999
+
+
+def test_minimum_cut_against_all_labellings():
+    rng = np.random.Generator(np.random.PCG64(4))
+    for _ in range(60):
+        n = int(rng.integers(2, 8))
+        odds = rng.normal(size=n)
+        edges = [(int(a), int(b), float(rng.random())) for a, b in rng.integers(0, n, (8, 2))]
+        cost = lambda s: sum(max(o, 0) if not k else max(-o, 0) for o, k in zip(odds, s)) + sum(w for a, b, w in edges if s[a] != s[b])
+        best = min(cost(s) for s in itertools.product([False, True], repeat=n))
+        assert cost(html.minimum_cut(odds, edges)) == pytest.approx(best)
+
+
+def vectors(spark, n=700):
+    rng = np.random.Generator(np.random.PCG64(3))
+    centre = rng.normal(size=(8, 12))
+    rows = [(i, [float(np.float32(x)) for x in centre[i % 8] + 0.3 * rng.normal(size=12)]) for i in range(n)]
+    for i in range(0, 60):  # many copies, so that ties matter
+        rows[i * 7] = (i * 7, rows[0][1])
+    rows += [(n, None), (n + 1, []), (n + 2, [0.0] * 12), (n + 3, [float("nan")] * 12), (n + 4, [1.0, None] + [0.0] * 10), (n + 5, [float("inf")] + [0.0] * 11), (n + 6, [1.0, 2.0])]
+    return spark.createDataFrame([(*r, 0.5) for r in rows], "vec_id long, embedding array<float>, score double"), dict(rows[:n])
+
+
+def brute_nearest(vecs, k):
+    ids = np.array(sorted(vecs))
+    x = np.array([vecs[i] for i in ids])
+    out = []
+    for q in ids[ids % 20 == 0]:
+        score = nearest.exact_scores(np.tile(vecs[q], (len(ids), 1)), x)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
+        out += [(int(q), r + 1, int(ids[j]), float(score[j])) for r, j in enumerate(order)]
+    return out
+
+
+def test_nearest_is_exact_with_factor_one(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 150)
+    monkeypatch.setattr(nearest, "LEAF", 16)
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 1000)
+    df, vecs = vectors(spark)
+    got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 20 == 0).collect()))
+    assert got == brute_nearest(vecs, 20)
+    loose = {tuple(r)[::2] for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, factor=1.5).select("query_id", "rank", "vec_id").collect()}
+    exact = {(q, v) for q, _, v, _ in got}
+    assert len(loose & exact) >= 0.9 * len(exact)
+    assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0
+    few = nearest.nearest(df.filter("vec_id < 3"), F.col("vec_id") == 0).collect()
+    assert [r.rank for r in few] == [1, 2]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    plain = [f"w{i}" for i in range(300)]
+    bad = ["zorkan", "zorkel", "blight", "idiot", "scumbag"]
+    docs, labels = [], []
+    for i in range(900):
+        words = rng.choice(plain, 40).tolist()
+        toxic = int(rng.random() < 0.2)
+        if toxic:
+            words += rng.choice(bad, 3).tolist()
+        docs.append((i, " ".join(rng.permutation(words).tolist()), 1 - toxic))
+        labels.append((i, 1, toxic if rng.random() > 0.02 else 1 - toxic))
+    docs += [(1000, None, 0), (1001, "", 0), (None, "idiot zorkan blight", 0), (1002, "Zorkan! " * 40_000, 0)]
+    labels += [(1, 1, None), (None, 1, 1), (5, 0, 7)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}
+    truth = {i: any(b in t.split() for b in bad) for i, t, _ in docs[:900]}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i in truth if got[i].held_out} == set(held)
+    assert np.mean([got[i].predicted == truth[i] for i in held]) > 0.97
+    assert got[1000].score == got[1001].score < 0.5 and got[None].predicted == 1 and got[1002].predicted == 1
+    assert all((r.score >= 0.5) == (r.predicted == 1) for r in got.values())
+    one_sided = {r.score for r in toxicity.toxicity(d, lab.filter("toxic = 0")).collect()}
+    assert len(one_sided) == 1 and one_sided.pop() < 0.01
+    assert toxicity.toxicity(d.limit(0), lab.limit(0)).count() == 0
+
+
+def test_label_model_learns_that_voters_copy_each_other():
+    rng = np.random.Generator(np.random.PCG64(1))
+    y = rng.random(4000) < 0.3
+    noisy = lambda p: np.where(rng.random(4000) < p, y, ~y)
+    first = noisy(0.8)
+    votes = np.column_stack([first, first, first, noisy(0.85), noisy(0.85)])
+    q, found = toxicity.label_model(votes, noisy(0.8).astype(int))
+    assert ((q > 0.5) == y).mean() > 0.88
+    assert found["correlation"][0, 1] > 0.8 > 0.3 > abs(found["correlation"][0, 3])
+    assert found["weight"][3] > found["weight"][0]

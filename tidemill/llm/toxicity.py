@@ -206,7 +206,9 @@ def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Mod
     posterior, estimates = label_model(votes, y)
     # toxic texts of the sample hold several signs each; rows of a single sign teach what one is worth
     alone = n + np.arange(len(toxic))
-    weights = logistic(np.append(at, alone), np.append(column, toxic), n + len(toxic), width, np.append(posterior, share[toxic]))
+    # and rows without any feature keep texts of unknown words, which show no sign, on the clean side
+    blank = np.full(max(50, n // 4), 0.5 * y.mean())
+    weights = logistic(np.append(at, alone), np.append(column, toxic), n + len(toxic) + len(blank), width, np.concatenate([posterior, share[toxic], blank]))
     return Model(features, weights, estimates)
 
 
@@ -221,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(known.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
-    texts = frugal(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "toxic")
+    texts = frugal(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "toxic")
     sample = store(texts.mapInArrow(_sample_features, "doc_id long, toxic int, features array<long>, marks array<boolean>"), "sample")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
