@@ -47,3 +47,23 @@ def test_summaries(spark):
     assert summaries.simple_linear_fit(df.withColumn("w", F.col("v") * 2 + 1), "v", "w").collect()[0].slope == pytest.approx(2)
     with pytest.raises(ValueError):
         summaries.vega_lite(df, "point", "v", "v", most=3)
+
+
+def test_two_abilities(spark):
+    from tidemill.models import irt, irt_multi
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    theta = rng.normal(size=(1500, 2))
+    slopes = np.array([[1.5, 0], [1.2, 0], [1.4, 0], [0, 1.5], [0, 1.3], [0, 1.2]])
+    y = (rng.random((1500, 6)) < 1 / (1 + np.exp(-(theta @ slopes.T)))).astype(int)
+    items = [f"i{k}" for k in range(6)]
+    df = spark.createDataFrame(np.column_stack([y, np.arange(1500)]).tolist(), [*items, "id"])
+    fit = irt_multi.fit_compensatory(df, items, {f"i{k}": [k // 3] for k in range(6)}, 2, rounds=40)
+    assert np.abs(fit["slopes"] - slopes).max() < 0.6
+    got = np.array([r.theta for r in irt_multi.score(df, fit).orderBy("id").collect()])
+    assert np.corrcoef(got[:, 0], theta[:, 0])[0, 1] > 0.6
+    bi = irt_multi.fit_bifactor(df, items, {f"i{k}": k // 3 for k in range(6)}, rounds=6)
+    assert 0 < bi["ecv"] < 1
+    one = irt.fit_dichotomous(df.select(items[:3]), items[:3], rounds=40)
+    assert irt_multi.bivariate_fit(df.select(items[:3]), one)["rms"] < 2
+    np.testing.assert_allclose(irt_multi.nominal_probabilities(np.zeros(1), [0, 1], [0, 0]), [[0.5, 0.5]])
