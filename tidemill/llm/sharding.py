@@ -62,15 +62,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: The same sums in one window; the checksum is folded over the bytes with a table built by rule.
+#: The same sums in one window; the checksum is folded over the bits of the text, lowest bit of each byte first.
 ORACLE = r"""
-WITH RECURSIVE bits AS (SELECT i AS b, i::UBIGINT AS c, 0 AS k FROM range(256) t(i)
-  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
-tab AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
-d AS (SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, '')) + 8 AS size FROM documents),
-h AS (SELECT doc_id, size, hex(encode(x)) AS h FROM d),
-c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(h) + 1, 2), lambda i: (strpos('0123456789ABCDEF', h[i]) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 17)::UBIGINT)),
-  lambda a, v: xor(a >> 8, t[(xor(a, v) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS crc FROM h, tab),
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+n AS (SELECT doc_id, size, list_transform(h, lambda x: (strpos('0123456789ABCDEF', x) - 1)::BIGINT) AS n FROM d),
+b AS (SELECT doc_id, size, flatten(list_transform(range(1, len(n), 2), lambda i: [n[i + 1] & 1, n[i + 1] >> 1 & 1, n[i + 1] >> 2 & 1, n[i + 1] >> 3, n[i] & 1, n[i] >> 1 & 1, n[i] >> 2 & 1, n[i] >> 3])) AS b FROM n),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, v: xor(a >> 1, 3988292384 * (xor(a, v) & 1))), 4294967295) AS crc FROM b),
 p AS (SELECT doc_id, size, crc, sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM c),
 s AS (SELECT *, least(23, ((2 * upto - size) * 24) // (2 * total)) AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
