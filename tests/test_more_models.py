@@ -67,3 +67,19 @@ def test_two_abilities(spark):
     one = irt.fit_dichotomous(df.select(items[:3]), items[:3], rounds=40)
     assert irt_multi.bivariate_fit(df.select(items[:3]), one)["rms"] < 2
     np.testing.assert_allclose(irt_multi.nominal_probabilities(np.zeros(1), [0, 1], [0, 0]), [[0.5, 0.5]])
+
+
+def test_decomposition_adds_up_to_the_two_way_estimate(spark):
+    from tidemill.models import causal, linear
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = []
+    for u in range(40):
+        g = [None, 3, 6][u % 3]
+        for t in range(9):
+            d = int(g is not None and t >= g)
+            rows.append((u, t, g, d, float(u % 5 + 0.3 * t + 2.0 * d + rng.normal())))
+    df = spark.createDataFrame(rows, "u int, t int, g int, d int, y double")
+    parts = causal.bacon_decompose(df, "y", "u", "t", "g")
+    assert sum(p["weight"] for p in parts) == pytest.approx(1) and len(parts) == 4
+    assert sum(p["weight"] * p["estimate"] for p in parts) == pytest.approx(linear.feols("y ~ d | u + t", df).coef[0], rel=1e-6)

@@ -111,3 +111,46 @@ def robustness_value(t_statistic: float, df_resid: float, q: float = 1.0) -> flo
     """Share of residual variance that an unseen confounder must explain of both sides to bring the estimate down by q."""
     f = q * abs(t_statistic) / np.sqrt(df_resid)
     return float(0.5 * (np.sqrt(f**4 + 4 * f**2) - f**2))
+
+
+def bacon_decompose(df: DataFrame, outcome: str, unit: str, time: str, cohort: str) -> list[dict]:
+    """The two-by-two comparisons whose weighted mean is the two-way fixed-effects estimate, for a balanced panel.
+
+    ``cohort`` is the time of first treatment, null for never. Only means and
+    sizes of cohorts by time come to the driver.
+    """
+    rows = df.filter(F.col(outcome).isNotNull()).groupBy(F.col(cohort).cast("double").alias("g"), F.col(time).cast("double").alias("t")).agg(F.avg(outcome).alias("m"), F.count_distinct(unit).alias("n")).collect()
+    times = sorted({r.t for r in rows})
+    cohorts = sorted({r.g for r in rows if r.g is not None and r.g > times[0]})
+    mean = {(r.g, r.t): r.m for r in rows}
+    size = {r.g: r.n for r in rows}
+    total = sum(size.values())
+    share = {g: n / total for g, n in size.items()}
+    treated = {g: sum(t >= g for t in times) / len(times) for g in cohorts}
+
+    def step(g, low, cut, high):
+        """Change of a cohort's mean from [low, cut) to [cut, high)."""
+        before, after = ([mean[g, t] for t in times if a <= t < b] for a, b in ((low, cut), (cut, high)))
+        return np.mean(after) - np.mean(before) if before and after else np.nan
+
+    inf, out = float("inf"), []
+
+    def put(kind, a, b, estimate, weight):
+        if weight > 0 and estimate == estimate:
+            out.append(dict(kind=kind, treated=a, control=b, estimate=float(estimate), weight=float(weight)))
+
+    for k in cohorts:
+        dk = treated[k]
+        if None in size:
+            both = share[k] + share[None]
+            mix = share[k] / both
+            put("treated vs never", k, None, step(k, -inf, k, inf) - step(None, -inf, k, inf), both**2 * mix * (1 - mix) * dk * (1 - dk))
+        for later in (c for c in cohorts if c > k):
+            dl, both = treated[later], share[k] + share[later]
+            mix = share[k] / both
+            put("earlier vs later", k, later, step(k, -inf, k, later) - step(later, -inf, k, later), (both * (1 - dl)) ** 2 * mix * (1 - mix) * (dk - dl) / (1 - dl) * (1 - dk) / (1 - dl))
+            put("later vs earlier", later, k, step(later, k, later, inf) - step(k, k, later, inf), (both * dk) ** 2 * mix * (1 - mix) * dl / dk * (dk - dl) / dk)
+    if not out:
+        raise StatError("S0202", "no two cohorts can be compared")
+    whole = sum(r["weight"] for r in out)
+    return [r | dict(weight=r["weight"] / whole) for r in out]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StatError
 from ..functions import distributions as D
+from ..sources.scratch import cut
 from .fold import fold
 
 
@@ -134,7 +135,7 @@ def mice(df: DataFrame, columns: Sequence[str], m: int = 5, iterations: int = 10
     means = flags.agg(*[F.avg(c).alias(c) for c in missing]).collect()[0].asDict() if missing else {}
     out = []
     for chain in range(m):
-        at = flags.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in missing}).persist()
+        at = flags.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in missing})
         for it in range(iterations if method != "mean" else 0):
             for c in missing:
                 others = [x for x in columns if x != c]
@@ -153,10 +154,7 @@ def mice(df: DataFrame, columns: Sequence[str], m: int = 5, iterations: int = 10
                     new = hole.withColumn(c, F.coalesce(F.col(c), _linear(beta[:-1], others) + F.lit(float(np.sqrt(beta[-1]))) * noise))
                 else:
                     raise StatError("S0202", f"no method {method}")
-                new = new.persist()
-                new.count()
-                at.unpersist()
-                at = new
+                at = cut(new)
         out.append(at.drop(*[f"__na_{c}" for c in missing]))
     return out
 

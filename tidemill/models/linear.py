@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StatError
 from ..functions import distributions as D
+from ..sources.scratch import cut
 from .fold import fold, moments
 from .formula import Design, Formula, complete, design
 
@@ -261,7 +262,7 @@ def feols(formula: str, df: DataFrame, vcov: str = "classical", cluster: str | N
         for k in range(rounds):
             for e in effects:
                 rows = without(rows, e)
-            rows = rows.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.persist()
+            rows = cut(rows)
             now = fold(rows, names, lambda m: (m**2).sum(axis=0))
             if last is not None and np.all(np.abs(now - last) <= tolerance * np.maximum(now, 1e-30)):
                 break
