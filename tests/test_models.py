@@ -261,7 +261,19 @@ def test_mixed_and_item_models(data, spark):
     y = (rng.random((1500, 4)) < irt.probability(theta[:, None], 1.2, b)).astype(int)
     items = table(spark, **{f"i{k}": y[:, k] for k in range(4)}, g=np.arange(1500) % 2, th=theta)
     fit = irt.fit_dichotomous(items.select("i0", "i1", "i2", "i3"), ["i0", "i1", "i2", "i3"], "2pl", rounds=60)
-    assert np.corrcoef(fit["b"], b)[0, 1] > 0.98 and np.abs(fit["a"] - 1.2).max() < 0.5
+    x, w = irt.quadrature(31)
+
+    def log_lik(slopes, places):
+        p = irt.probability(x[:, None], slopes, places)
+        return np.log(np.exp(y @ np.log(p).T + (1 - y) @ np.log1p(-p).T) @ w).sum()
+
+    # the estimates are likelier than the truth and than any small step away from them
+    best = log_lik(fit["a"], fit["b"])
+    assert np.corrcoef(fit["b"], b)[0, 1] > 0.98 and fit["log_lik"] == pytest.approx(best, abs=0.05) and best > log_lik(np.full(4, 1.2), b)
+    for k in range(4):
+        for d in (-0.15, 0.15):
+            step = np.eye(4)[k] * d
+            assert log_lik(fit["a"] + step, fit["b"]) < best + 0.02 and log_lik(fit["a"], fit["b"] + step) < best + 0.02
     scores = irt.score_persons(items, fit).agg(F.corr("theta", "th")).collect()[0][0]
     assert scores > 0.5
     assert {r["class"] for r in irt.mantel_haenszel_dif(items, ["i0", "i1"], "g", "th").collect()} <= {"A", "B"}
