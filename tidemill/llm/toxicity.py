@@ -29,6 +29,8 @@ PREFIXES = (4, 5, 6, 8)
 SUPPORT = 3
 #: Rows of the sample's mix of labels that each feature's share of toxic rows is mixed with.
 SHRINK = 10
+#: Share of toxic and of clean rows that are labelled toxic: the labels are taken for rarely wrong.
+TRUST = (0.97, 0.002)
 #: Learned lexicons that vote.
 LEXICONS = 12
 
@@ -97,32 +99,41 @@ class Presence:
         return both // len(self.sorted), both % len(self.sorted)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 100, trust: tuple[float, float] | None = None) -> tuple[np.ndarray, dict]:
     """Posterior probability of the positive class for each row of binary votes (1: the voter fires).
 
-    Each hidden class has a mean vote vector; the votes' shared within-class
-    covariance holds their correlations, so that voters who err together count
-    for less. ``gold`` (0 or 1 per row) votes like the others and starts the
-    iteration. Returns the posteriors and the estimates.
+    Under each hidden class every voter fires with a probability of its own.
+    What the posteriors leave unexplained shows which voters err together; a
+    voter's evidence is divided by one plus its correlations with the others,
+    so that copies of a voter count once. ``gold`` (0 or 1 per row) votes like
+    the others and, softened, starts the iteration; ``trust`` fixes how often it
+    fires for either class, where that is known. Returns the posteriors and the
+    estimates.
     """
     x = np.column_stack([votes, gold]).astype(float)
-    q = np.clip(gold.astype(float), 0.05, 0.95)
+    q = np.where(np.asarray(gold) == 1, 0.8, 0.2).astype(float)
     for _ in range(rounds):
-        w1, w0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
-        prior = w1 / (w1 + w0)
-        mean1, mean0 = (q @ x + 0.5) / (w1 + 1), ((1 - q) @ x + 0.5) / (w0 + 1)
-        d1, d0 = x - mean1, x - mean0
-        cov = (d1.T @ (d1 * q[:, None]) + d0.T @ (d0 * (1 - q)[:, None])) / len(x)
-        cov += np.diag(0.02 + 0.05 * np.diag(cov))
-        weight = np.linalg.solve(cov, mean1 - mean0)
-        logit = (x - (mean1 + mean0) / 2) @ weight + np.log(prior / (1 - prior))
+        w1, w0 = q.sum(), (1 - q).sum()
+        prior = (w1 + 1) / (w1 + w0 + 2)
+        fires1, fires0 = (q @ x + 1) / (w1 + 2), ((1 - q) @ x + 1) / (w0 + 2)
+        if trust:
+            fires1[-1], fires0[-1] = trust
+        rest = x - np.outer(q, fires1) - np.outer(1 - q, fires0)
+        rest -= rest.mean(axis=0)
+        spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
+        correlation = rest.T @ rest / np.outer(spread, spread)
+        others = np.where(correlation > 0.1, correlation, 0.0)
+        np.fill_diagonal(others, 0.0)
+        weight = 1 / (1 + others.sum(axis=1))
+        if trust:
+            weight[-1] = 1.0
+        logit = x @ (weight * np.log(fires1 / fires0)) + (1 - x) @ (weight * np.log((1 - fires1) / (1 - fires0))) + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
-            q = new
-            break
+        done = np.abs(new - q).max() < 1e-6
         q = new
-    spread = np.sqrt(np.diag(cov))
-    return q, {"prior": prior, "fires_if_toxic": mean1, "fires_if_clean": mean0, "correlation": cov / np.outer(spread, spread), "weight": weight}
+        if done:
+            break
+    return q, {"prior": prior, "fires_if_toxic": fires1, "fires_if_clean": fires0, "correlation": correlation, "weight": weight}
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, target: np.ndarray, ridge: float = 0.1, steps: int = 300) -> np.ndarray:
@@ -203,7 +214,7 @@ def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Mod
         votes[at[known[column]], LEXICONS + k] = True
     votes[:, LEXICONS + len(INSULTS) : -1] = np.array([list(r.marks) for r in rows], dtype=bool)
     votes[:, -1] = np.bincount(at[use], minlength=n) >= 2
-    posterior, estimates = label_model(votes, y)
+    posterior, estimates = label_model(votes, y, trust=TRUST)
     # toxic texts of the sample hold several signs each; rows of a single sign teach what one is worth
     alone = n + np.arange(len(toxic))
     # and rows without any feature keep texts of unknown words, which show no sign, on the clean side
