@@ -30,7 +30,9 @@ SUPPORT = 3
 #: Rows of the sample's mix of labels that each feature's share of toxic rows is mixed with.
 SHRINK = 10
 #: Share of toxic and of clean rows that are labelled toxic: the labels are taken for rarely wrong.
-TRUST = (0.97, 0.002)
+TRUST = (0.9999, 0.0001)
+#: Features go into a lexicon if over this share of the rows that have them, so mixed, is toxic; chance finds in long texts stay out.
+SURE = 0.6
 #: Learned lexicons that vote.
 LEXICONS = 12
 
@@ -203,7 +205,7 @@ def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Mod
     hashes = np.concatenate([np.asarray(r.features, dtype=np.int64) for r in rows]).view(np.uint64) if count.sum() else np.zeros(0, np.uint64)
     at, column = presence.find(hashes, np.repeat(np.arange(n), count))
     # learned lexicons: the features that speak most for toxic, dealt out in turn, so each sees a part of the evidence
-    toxic = np.flatnonzero(lift > np.log(4))[: 40 * LEXICONS]
+    toxic = np.flatnonzero((lift > np.log(4)) & (share > SURE))[: 40 * LEXICONS]
     of = np.full(width, -1)
     of[toxic] = np.arange(len(toxic)) % LEXICONS
     votes = np.zeros((n, LEXICONS + len(INSULTS) + PATTERNS + 1), dtype=bool)
