@@ -229,6 +229,69 @@ def test_imputation(spark):
     assert impute.vif(df.dropna(), ["x", "y"])[0]["severity"] == "high"
 
 
+def gower_means(rows, k):
+    """Brute force over (y, x, z) with None for missing cells."""
+    cols = [[r[j] for r in rows if r[j] is not None] for j in (1, 2)]
+    span = [max(c) - min(c) for c in cols]
+    out = {}
+    for i, (y, *f) in enumerate(rows):
+        if y is None:
+            near = []
+            for u, *g in rows:
+                if u is not None:
+                    both = [abs(a - b) / s for a, b, s in zip(f, g, span) if a is not None and b is not None]
+                    near.append((sum(both) / len(both) if both else 1.0, u))
+            near = sorted(near)[:k]
+            out[i] = sum(u / (d + 1e-5) for d, u in near) / sum(1 / (d + 1e-5) for d, _ in near)
+    return out
+
+
+def test_knn_takes_all_donors_and_ranges_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(impute, "MOST_DONORS", 50, raising=False)  # the cut there was
+    monkeypatch.setattr(impute, "DONOR_ROWS", 37, raising=False)
+    monkeypatch.setattr(impute, "RECEIVER_ROWS", 11, raising=False)
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = [(float(rng.normal()), float(rng.normal()), float(rng.normal())) for _ in range(400)]
+    rows = [(None if i % 5 == 0 else y, None if i % 7 == 0 else x, None if i % 11 == 0 else z) for i, (y, x, z) in enumerate(rows)]
+    rows[5] = (None, 40.0, 0.0)  # widens the range, though it's no donor
+    rows[385] = (None, 0.5, None)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, y double, x double, z double")
+    got = {r.i: r.y for r in impute.knn(df, "y", ["x", "z"]).collect()}
+    want = gower_means(rows, 5)
+    assert len(got) == 400 and all(got[i] == pytest.approx(want[i]) for i in want if rows[i][1] is not None or rows[i][2] is not None)
+
+
+def test_imputation_with_a_row_repeated_past_the_former_cut(spark):
+    many = spark.range(60_000).select(F.lit(1.0).alias("x"), F.lit(-7.0).alias("y"))
+    line = spark.range(200).select((10.0 + F.col("id")).alias("x"), (F.col("id") * 2.0).alias("y"))
+    holes = spark.range(20).select((10.0 + F.col("id") * 10).alias("x"), F.lit(None).cast("double").alias("y"))
+    df = many.unionByName(line).unionByName(holes)
+    near = [r.y for r in impute.knn(df, "y", ["x"], k=3).join(holes.select("x"), "x").filter("x > 10").collect()]
+    assert len(near) == 38 and min(near) > 0
+    filled = impute.pmm(df, "y", ["x"], seed=3)
+    got = [(r.x, r.y) for r in filled.join(holes.select("x"), "x").collect()]
+    assert filled.count() == 60_220 and len(got) == 40 and all(abs(y - 2 * (x - 10)) <= 8 for x, y in got)
+
+
+def test_pmm_draws_from_the_nearest_donors_of_all_ranges(spark, monkeypatch):
+    monkeypatch.setattr(impute, "MOST_DONORS", 50, raising=False)
+    rng = np.random.Generator(np.random.PCG64(9))
+    x = np.concatenate([rng.normal(size=500), [3.0] * 40, [-50.0, 50.0]])
+    y = x * 3 + rng.normal(size=len(x))
+    rows = [(i, float(a), None if i % 6 == 0 or i >= 540 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "i int, x double, y double").repartition(7)
+    given = [(a, b) for _, a, b in rows if b is not None]
+    drawn = {r.i: r.y for r in impute.pmm(df, "y", ["x"], key=["i"]).collect()}
+    ranks = set()
+    for i, a, b in rows:
+        if b is None:
+            edge = sorted(abs(u - a) for u, _ in given)[4]
+            assert drawn[i] in [v for u, v in given if abs(u - a) <= edge + 1e-9]
+            ranks.add(sorted(given, key=lambda g: abs(g[0] - a)).index(next(g for g in given if g[1] == drawn[i])))
+    assert len(drawn) == len(rows) and {0, 1, 2, 3, 4} <= ranks
+    assert drawn == {r.i: r.y for r in impute.pmm(df.repartition(2), "y", ["x"], key=["i"]).collect()}
+
+
 def test_contracts(spark):
     df = table(spark, k=[1, 2, 2], v=[1.0, 5.0, 9.0])
     c = contracts.new_contract("c").expect_unique("k").expect_range("v", 0, 10).expect_na_max("v", 0).expect_min_sample_size(3).expect_column_names("z")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,40 +56,96 @@ def hotdeck(df: DataFrame, column: str, pool: str, order: Sequence[str], seed: i
     return df.filter(there).unionByName(filled.select(df.columns))
 
 
-#: Donor rows of a distance-based imputation; they are sent to every task.
-MOST_DONORS = 50_000
+#: Rows of one block of donors and of receivers; every block of the one meets every block of the other.
+DONOR_ROWS, RECEIVER_ROWS = 16_384, 4096
+#: Distances held at once.
+CELLS = 1 << 20
 
 
-def _donors(df: DataFrame, columns: Sequence[str], seed: int) -> np.ndarray:
-    """Complete rows, all of them up to MOST_DONORS, else a seeded choice of that many."""
-    full = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
-    rows = full.orderBy(F.xxhash64(F.lit(seed), *full.columns), *full.columns).limit(MOST_DONORS).toPandas().to_numpy(float)
-    if not len(rows):
-        raise StatError("S0202", "no complete rows")
-    return rows
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows of doubles and longs as pickled column lists of at most ``size`` rows."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                if n + part.num_rows > size:
+                    yield block(held)
+                    held, n = [], 0
+                held.append([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                n += part.num_rows
+        if n:
+            yield block(held)
+
+    def block(held):
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps([np.concatenate(c) for c in zip(*held)])], pa.binary())], names=[name])
+
+    return rows.mapInArrow(run, f"{name} binary")
+
+
+def _gower(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Mean absolute difference over the features that both rows have, 1 where there is none."""
+    total, valid = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):
+        apart = np.abs(q[:, j][:, None] - x[:, j][None, :])
+        there = ~np.isnan(apart)
+        total += np.where(there, apart, 0.0)
+        valid += there
+    return np.where(valid > 0, total / np.maximum(valid, 1), 1.0)
 
 
 def knn(df: DataFrame, column: str, features: Sequence[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """Mean of the k nearest complete rows by range-scaled distance, weighted by 1 / (distance + 1e-5)."""
-    donors = _donors(df, [column, *features], seed)
-    low, high = donors[:, 1:].min(axis=0), donors[:, 1:].max(axis=0)
-    span = np.where(high > low, high - low, 1.0)
-    y, x = donors[:, 0], donors[:, 1:] / span
-
-    def run(*series: pd.Series) -> pd.Series:
-        q = np.column_stack([s.to_numpy(float, na_value=np.nan) for s in series]) / span
-        out = np.empty(len(q))
-        for i, row in enumerate(q):
-            there = ~np.isnan(row)
-            d = np.abs(x[:, there] - row[there]).mean(axis=1) if there.any() else np.zeros(len(x))
-            near = np.argsort(d, kind="stable")[:k]
-            w = 1 / (d[near] + 1e-5)
-            out[i] = (w * y[near]).sum() / w.sum()
-        return pd.Series(out)
-
-    udf = F.pandas_udf(run, "double")
-    missing = df.filter(F.col(column).isNull()).withColumn(column, udf(*[F.col(c).cast("double") for c in features]))
-    return df.filter(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double")).unionByName(missing)
+    """Mean of the k nearest rows that have ``column`` by range-scaled distance, weighted by 1 / (distance + 1e-5).
+
+    The distance is taken over the features that both rows have (1 if there is
+    none), scaled by each feature's range over all rows. Every donor is
+    compared: blocks of donors meet blocks of distinct receivers, and the k
+    best of the blocks are merged. Equal distances go by a seeded hash of the row.
+    """
+    spark = df.sparkSession
+    names = [f"__f{i}" for i in range(len(features))]
+    cells = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) + F.lit(0.0) for f in features]
+    has = F.col(column).isNotNull()
+    one = df.select(F.col(column), *[c.alias(n) for c, n in zip(cells, names)]).agg(F.count(column), *[x for n in names for x in (F.min(n), F.max(n))]).collect()[0]
+    if not one[0]:
+        raise StatError("S0202", "no rows with the column")
+    span = np.array([1.0 if low is None or high - low < 1e-9 else high - low for low, high in zip(one[1::2], one[2::2])])
+    given = [c.alias(n) for c, n in zip(cells, names)]
+    asked = df.filter(~has).select(*given).distinct()
+    y = F.col(column).cast("double")
+    donors = df.filter(has).select(y.alias("__y"), F.xxhash64(F.lit(seed), y, *cells).alias("__h"), *given).repartition(spark.sparkContext.defaultParallelism)
+    pairs = _blocks(donors, DONOR_ROWS, "donors").crossJoin(_blocks(asked, RECEIVER_ROWS, "receivers"))
+
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                y, h, *x = pickle.loads(a.as_py())
+                raw = np.column_stack(pickle.loads(b.as_py())).astype(float)
+                order = np.lexsort((y, h))
+                y, h, x = y[order], h[order], np.column_stack(x).astype(float)[order] / span
+                step = max(1, CELLS // len(x))
+                for at in range(0, len(raw), step):
+                    part = raw[at : at + step]
+                    d = _gower(part / span, x)
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(d), np.inf)
+                    row, donor = np.nonzero(d <= edge[:, None])
+                    order = np.lexsort((donor, d[row, donor], row))
+                    row, donor = row[order], donor[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < k
+                    row, donor = row[keep], donor[keep]
+                    out = [pa.array(part[row, j], from_pandas=True) for j in range(part.shape[1])]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(d[row, donor]), pa.array(h[donor]), pa.array(y[donor])], names=[*names, "__d", "__h", "__y"])
+
+    near = pairs.mapInArrow(run, ", ".join([*[f"{n} double" for n in names], "__d double", "__h long", "__y double"]))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("__d", "__h", "__y"))
+    weight = 1 / (F.col("__d") + 1e-5)
+    means = near.withColumn("__k", place).filter(F.col("__k") <= k).groupBy(*names).agg((F.sum(weight * F.col("__y")) / F.sum(weight)).alias("__new"))
+    means = means.select(*[F.col(n).alias(f"{n}_") for n in names], "__new")
+    missing = df.filter(~has).withColumns(dict(zip(names, cells)))
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
+    filled = missing.join(means, same, "left").withColumn(column, F.col("__new")).select(*df.columns)
+    return df.filter(has).withColumn(column, F.col(column).cast("double")).unionByName(filled)
 
 
 def _fit(df: DataFrame, column: str, features: Sequence[str], by: Sequence[str] = ()) -> np.ndarray:
@@ -106,22 +166,46 @@ def _linear(beta: np.ndarray, features: Sequence[str]) -> Column:
 
 
 def pmm(df: DataFrame, column: str, features: Sequence[str], donors: int = 5, seed: int = 0, key: Sequence[str] = ()) -> DataFrame:
-    """Predictive mean matching: one of the ``donors`` complete rows nearest in prediction, chosen by a hash of seed and row."""
+    """Predictive mean matching: one of the ``donors`` complete rows nearest in prediction, chosen by a hash of seed and row.
+
+    All complete rows are donors. Donors and receivers are dealt into ranges of
+    the prediction (equal ones by a hash); a range searches its own donors and
+    the outermost ones of every other range, which hold all nearest ones.
+    Rows without a prediction come after the largest.
+    """
+    full = df.select(F.col(column).cast("double").alias("__v"), *features).dropna()
+    if not full.limit(1).count():
+        raise StatError("S0202", "no complete rows")
     beta = _fit(df, column, features)
-    rows = _donors(df, [column, *features], seed)
-    at = rows[:, 1:] @ beta[1:-1] + beta[0]
-    order = np.argsort(at, kind="stable")
-    at, values = at[order], rows[order, 0]
-
-    def run(p: pd.Series, h: pd.Series) -> pd.Series:
-        p, h = p.to_numpy(float), h.to_numpy(np.int64)
-        place = np.searchsorted(at, p)
-        cand = np.clip(place[:, None] + np.arange(-donors, donors)[None, :], 0, len(at) - 1)
-        near = np.take_along_axis(cand, np.argsort(np.abs(at[cand] - p[:, None]), axis=1, kind="stable")[:, :donors], axis=1)
-        return pd.Series(values[np.take_along_axis(near, (h % near.shape[1])[:, None], axis=1)[:, 0]])
-
-    draw = F.pandas_udf(run, "double")(_linear(beta[:-1], features), F.xxhash64(F.lit(seed), *(key or df.columns)))
-    return df.withColumn(column, F.coalesce(F.col(column).cast("double"), draw))
+    guess = F.coalesce(_linear(beta[:-1], features), F.lit(float("nan"))) + F.lit(0.0)
+    marked = df.withColumns({"__p": guess, "__h": F.xxhash64(F.lit(seed), *(key or df.columns))})
+    # repeated donors are counted, so that they don't pile up in one range
+    give = full.groupBy(guess.alias("__p"), "__v").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.xxhash64(F.lit(seed), "__v").alias("__h"), "__v", "__n")
+    take = marked.filter(F.col(column).isNull()).select("__p", "__h").distinct().select("__p", "__h", F.lit(None).cast("double").alias("__v"), F.lit(0).cast("long").alias("__n"))
+    dealt = cut(give.unionByName(take).repartitionByRange("__p", "__h").withColumn("__part", F.spark_partition_id()))
+    held = dealt.filter("__n > 0")
+    ends = [held.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*by))).filter(F.col("__k") <= donors).drop("__k") for by in (["__p", "__h", "__v"], [F.desc("__p"), F.desc("__h"), F.desc("__v")])]
+    border = ends[0].unionByName(ends[1]).distinct().toPandas()
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        asked = own[own["__n"] == 0]
+        rows = pd.concat([own, border[border["__part"] != own["__part"].iloc[0]]]).sort_values(["__p", "__h", "__v"], na_position="last", kind="stable")
+        p, h, v = rows["__p"].to_numpy(), rows["__h"].to_numpy(), rows["__v"].to_numpy()
+        n = np.minimum(rows["__n"].to_numpy(), donors)
+        place = np.cumsum(n)[n == 0]
+        at, values = np.repeat(p, n), np.repeat(v, n)
+        p, h = p[n == 0], h[n == 0]
+        cand = place[:, None] + np.arange(-donors, donors)[None, :]
+        out = (cand < 0) | (cand >= len(at))
+        cand = np.clip(cand, 0, len(at) - 1)
+        apart = np.where(out, np.inf, np.nan_to_num(np.abs(at[cand] - p[:, None]), nan=0.0))
+        near = np.take_along_axis(cand, np.argsort(apart, axis=1, kind="stable"), axis=1)
+        some = np.minimum((~out).sum(axis=1), donors)
+        return pd.DataFrame({"__p_": p, "__h_": h, "__new": values[near[np.arange(len(p)), h % some]]}, index=range(len(asked)))
+
+    found = dealt.groupBy("__part").applyInPandas(run, "__p_ double, __h_ long, __new double")
+    same = F.col(column).isNull() & (F.col("__p") == F.col("__p_")) & (F.col("__h") == F.col("__h_"))
+    return marked.join(found, same, "left").withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("__new"))).select(*df.columns)
 
 
 def mice(df: DataFrame, columns: Sequence[str], m: int = 5, iterations: int = 10, method: str | Callable = "pmm", seed: int = 0, key: Sequence[str] = ()) -> list[DataFrame]:
