@@ -192,6 +192,29 @@ def test_nearest_is_exact_with_factor_one(spark, monkeypatch):
     assert [r.rank for r in few] == [1, 2]
 
 
+def test_nearest_with_ties_of_distinct_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF", 16)
+    rng = np.random.Generator(np.random.PCG64(12))
+    binary = {int(i): [float(b) for b in rng.integers(0, 2, 12)] for i in rng.permutation(900)}
+    binary = {i: v if any(v) else [1.0] * 12 for i, v in binary.items()}
+    one_hot = {int(i): [float(j == i % 64) * float(1 + i % 2) for j in range(64)] for i in rng.permutation(400).tolist()}
+    signed = {int(i): [float(x) * 0.1 for x in rng.integers(-1, 2, 10)] for i in rng.permutation(800)}
+    signed = {i: v if any(v) else [0.1] * 10 for i, v in signed.items()}
+    for shard_rows in (150, 8192):
+        monkeypatch.setattr(nearest, "SHARD_ROWS", shard_rows)
+        for vecs in (binary, one_hot, signed):
+            df = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>")
+            got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 20 == 0).collect()))
+            assert got == brute_nearest(vecs, 20)
+
+
+def test_nearest_with_a_query_id_in_many_rows(spark):
+    rows = [(0, [1.0, 0.0], i == 0) for i in range(30)] + [(i, [1.0, 0.0], False) for i in range(1, 4)] + [(5, [0.5, float(i)], False) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, asked boolean")
+    got = {r.vec_id for r in nearest.nearest(df, F.col("asked")).filter("score = 1").collect()}
+    assert got == {1, 2, 3}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.Generator(np.random.PCG64(6))
     plain = [f"w{i}" for i in range(300)]

@@ -9,7 +9,10 @@ exceeds the distance of the last of the k nearest so far: with factor one the
 search is exact, a larger one skips more.
 
 Equal vectors are one point of the tree that lists its ids, so copies cost
-nothing and ties among them go to the smaller id exactly.
+little. Points are ranked by their exact score and then by the smallest of
+their ids that isn't the query's own, so k points hold the k nearest ids
+whatever ties there are; rough scores and distances only decide what to look
+at, within a margin for their rounding.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ SHARD_ROWS = 8192
 LEAF = 128
 #: Bytes of query vectors that one pass sends to each task.
 QUERY_BYTES = 8 << 20
-#: Points kept beyond k, so that rounding in the tree can't decide who is among the k.
-SPARE = 12
+#: Queries that meet a leaf at once.
+TOGETHER = 2048
+_NONE = np.iinfo(np.int64).max
 
 
 class Tree:
@@ -41,14 +45,21 @@ class Tree:
         vectors = vectors + 0.0  # one zero only
         points, inverse = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, inverse.ravel()))
-        bounds = np.searchsorted(inverse.ravel()[order], np.arange(len(points) + 1))
-        # k + 1 ids of a point are all that can be among the k nearest of a query
-        listed = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(bounds[:-1], bounds[1:])]
+        point, ids = inverse.ravel()[order], ids[order]
+        run = np.flatnonzero(np.append(True, (point[1:] != point[:-1]) | (ids[1:] != ids[:-1])))
+        # k rows of one id and 2k of a point are all that can be among the k nearest of a query, whose own id doesn't count
+        few = np.arange(len(ids)) - np.repeat(run, np.diff(np.append(run, len(ids)))) < k
+        point, ids = point[few], ids[few]
+        bounds = np.searchsorted(point, np.arange(len(points) + 1))
+        listed = [ids[a : min(b, a + 2 * k)] for a, b in zip(bounds[:-1], bounds[1:])]
         lift = np.sqrt(np.maximum(top * top - (points * points).sum(axis=1), 0))
         self.k, self.top, self.nodes = k, top, []
         self.rank = np.arange(len(points))
         self._build(np.column_stack([points, lift]), 0, len(points), np.random.Generator(np.random.PCG64(5)))
         self.points, self.listed = points[self.rank], [listed[i] for i in self.rank]
+        #: The smallest id of each point, and the smallest other one.
+        self.first = np.array([x[0] for x in self.listed], dtype=np.int64)
+        self.second = np.array([next((i for i in x if i != x[0]), _NONE) for x in self.listed], dtype=np.int64)
 
     def _build(self, lifted: np.ndarray, a: int, b: int, rng) -> int:
         at = len(self.nodes)
@@ -67,29 +78,57 @@ class Tree:
         self.nodes[at] = (a, b, lifted[vantage][:-1], lifted[vantage][-1], far[order[middle]], (inner, outer, far[order[middle - 1]]))
         return at
 
-    def search(self, queries: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(points, rough scores), the k + SPARE best of each query."""
-        width = self.k + SPARE
-        best = np.full((len(queries), width), -np.inf)
-        which = np.full((len(queries), width), -1, dtype=np.int64)
-        level = self.top**2 + (queries * queries).sum(axis=1)
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(points, exact scores), the k best of each query; -1 where there are fewer."""
+        k = self.k
+        best = np.full((len(queries), k), -np.inf)
+        which = np.full((len(queries), k), -1, dtype=np.int64)
+        least = np.full((len(queries), k), _NONE)
+        square = (queries * queries).sum(axis=1)
+        level = self.top**2 + square
+        unit = 8 * (queries.shape[1] + 4) * np.finfo(float).eps
+        # bounds of the rounding of a rough score, and of distances and their gaps
+        margin, slack = unit * self.top * np.sqrt(square), 4 * np.sqrt(unit * (level + 4 * self.top**2))
+        columns, places = np.ascontiguousarray(queries.T), np.ascontiguousarray(self.points.T)
+
+        def meet(a: int, b: int, active: np.ndarray) -> None:
+            rough = queries[active] @ self.points[a:b].T
+            row, point = np.nonzero(rough >= (best[active, -1] - margin[active])[:, None])
+            row, point = active[row], point + a
+            own = self.first[point] == query_ids[row]
+            name = np.where(own, self.second[point], self.first[point])
+            there = ~own | (name != _NONE)
+            row, point, name = row[there], point[there], name[there]
+            score = np.zeros(len(row))
+            for q, x in zip(columns, places):  # as exact_scores does
+                score += q[row] * x[point]
+            end, last = best[row, -1], least[row, -1]
+            there = (score > end) | (score == end) & (name < last)
+            row, point, name, score = row[there], point[there], name[there], score[there]
+            if not len(row):
+                return
+            rows = np.unique(row)
+            row = np.concatenate([np.repeat(rows, k), row])
+            score, name, point = (np.concatenate([old[rows].ravel(), new]) for old, new in ((best, score), (least, name), (which, point)))
+            order = np.lexsort((name, -score, row))
+            row = row[order]
+            keep = order[np.arange(len(row)) - np.searchsorted(row, rows)[np.searchsorted(rows, row)] < k]
+            best[rows], least[rows], which[rows] = (x[keep].reshape(-1, k) for x in (score, name, point))
 
         def visit(node: int, active: np.ndarray) -> None:
             if not len(active):
                 return
             a, b, vantage, lift, _, children = self.nodes[node]
             if isinstance(children, int):
-                score = np.concatenate([best[active], queries[active] @ self.points[a:b].T], axis=1)
-                point = np.concatenate([which[active], np.broadcast_to(np.arange(a, b), (len(active), b - a))], axis=1)
-                keep = np.argpartition(-score, width - 1, axis=1)[:, :width]
-                best[active], which[active] = np.take_along_axis(score, keep, 1), np.take_along_axis(point, keep, 1)
+                for at in range(0, len(active), TOGETHER):
+                    meet(a, b, active[at : at + TOGETHER])
                 return
             inner, outer, edge = children
             border = self.nodes[node][4]
             apart = np.sqrt(np.maximum(level[active] - 2 * (queries[active] @ vantage), 0))
 
             def last(rows):  # distance of the last of the nearest so far, with room for rounding
-                return np.sqrt(np.maximum(level[rows] - 2 * best[rows].min(axis=1), 0)) * (1 + 1e-9) + 1e-9
+                return np.sqrt(np.maximum(level[rows] - 2 * best[rows, -1], 0)) + slack[rows]
 
             near = apart < border
             visit(inner, active[near])
@@ -142,10 +181,9 @@ def _searched(query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float)
         for batch in batches:
             for blob in batch.column(0):
                 tree = pickle.loads(blob.as_py())
-                which, _ = tree.search(queries, factor)
+                which, best = tree.search(query_ids, queries, factor)
                 row, slot = np.nonzero(which >= 0)
-                point = which[row, slot]
-                score = exact_scores(queries[row], tree.points[point])
+                point, score = which[row, slot], best[row, slot]
                 size = np.array([len(tree.listed[p]) for p in point], dtype=np.int64)
                 ids = np.concatenate([tree.listed[p] for p in point]) if len(point) else np.zeros(0, np.int64)
                 row, score = np.repeat(row, size), np.repeat(score, size)
