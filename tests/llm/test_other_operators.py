@@ -145,6 +145,14 @@ def test_main_text(spark):
     assert html.main_text(big).count("\n\n") == 4999
 
 
+def test_text_after_the_last_tag():
+    assert html.main_text("<article><p>Below < 5 degrees the pump stops, and 3<4 holds") == "Below < 5 degrees the pump stops, and 3<4 holds"
+    assert html.main_text("<article><p>Kept < 5 too <a href='x") == "Kept < 5 too"
+    assert html.main_text("<article><p>Kept </") == "Kept"
+    assert html.main_text("<article><p>Kept <!-- no < 5") == "Kept"
+    assert [b.text for b in html.blocks_of("Plain text where 3 < 5 holds. " * 3 + "<")] == [("Plain text where 3 < 5 holds. " * 3 + "<")]
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.Generator(np.random.PCG64(4))
     for _ in range(60):

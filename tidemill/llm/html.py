@@ -41,6 +41,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: A tag that is cut off; another "<" is text.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head".split()
@@ -142,7 +144,8 @@ def blocks_of(html: str) -> list[Block]:
             number += 1
             stack.append((tag, number, _role(tag, m[4], stack[-1][2] if stack else 0)))
     if at < len(html):
-        parts.append(html[at:] if "<" not in html[at:] else html[at : html.index("<", at)])
+        unfinished = _UNFINISHED.search(html, at)
+        parts.append(html[at : unfinished.start()] if unfinished else html[at:])
     flush()
     return out
 
