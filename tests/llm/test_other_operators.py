@@ -153,6 +153,26 @@ def test_text_after_the_last_tag():
     assert [b.text for b in html.blocks_of("Plain text where 3 < 5 holds. " * 3 + "<")] == [("Plain text where 3 < 5 holds. " * 3 + "<")]
 
 
+ARTICLE = "<h1>T</h1><p>The pump was stopped. It started again a day later.</p><p>Nobody knows why.</p>"
+
+
+@pytest.mark.parametrize("around", [
+    "<div class='content-sidebar-wrap'><article>{}</article><div class='sidebar'>Side text. Long, too.</div></div>",
+    "<div class='layout has-sidebar'><main>{}</main><aside>Side text. Long, too.</aside></div>",
+    "<form id='aspnetForm'><nav>Home</nav><div role='main'>{}</div><footer>Foot</footer></form>",
+    "<form><div class='sidebar'><article>{}</article></div></form>",
+    "<div class='header'>Site<article>{}</article></div>",
+    "<div class='more'><main>{}</main></div>",
+    "<main><div class='with-share'><article class='post tag-legal'>{}</article></div></main>",
+    "<article>{}<div class='related'><article><p>Another article. Read it now.</p></article></div></article>",
+    "<main>{}</main><div class='comments-area'><article><p>I agree. It is so.</p></article></div><aside><article><p>A teaser. It is short.</p></article></aside>",
+    "<article>{}</article><div class='primary-sidebar'><article><p>A teaser. It is short.</p></article></div>",
+    "<div style='display:none'><main><p>Hidden text. Not shown.</p></main></div><article>{}</article>",
+])
+def test_articles_inside_named_wrappers(around):
+    assert html.main_text(f"<body>{around.format(ARTICLE)}</body>") == "T\n\nThe pump was stopped. It started again a day later.\n\nNobody knows why."
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.Generator(np.random.PCG64(4))
     for _ in range(60):

@@ -49,12 +49,19 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_OTHER_TAGS = frozenset("nav footer aside form menu dialog head search".split())
+_OTHER_TAGS = frozenset("nav footer aside menu dialog head search".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _OTHER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|foot|header|topbar|masthead|sidebar|side|aside|ads?|advert|adverts|advertisement|advertising|adsense|banner|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|more|comment|comments|disqus|reply|replies|respond|breadcrumb|breadcrumbs|pagination|pager|widget|toolbar|copyright|legal|search|form|tags|byline-links|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Names of an element that has a sidebar and the like, rather than of the sidebar.
+_AROUND = re.compile(r"^(?:has|with|without|no|is|tag|category)[_-]|(?:wrap|wrapper|container|layout|page|grid)$|(?:^|[_-])(?:content|main)[_-]|[_-](?:content|main)(?:$|[_-])", re.I)
+#: Names of lists that may hold articles of their own.
+_LISTS = re.compile(r"(?:^|[_-])(?:related|recommended|recommendations|more|comments?|disqus|reply|replies|respond|promo|promotion|sponsor|sponsored|ads?|adverts?|advertisement|advertising)(?:$|[_-])", re.I)
+#: Boilerplate, from what gives way to an article inside to what never does.
+LOOSE, FIRM, LISTED, OTHER, HIDDEN = -1, -2, -3, -4, -5
+ARTICLE, MAIN = 2, 3
 _CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose|maintext)(?:$|[\s_-])", re.I)
 _SPACES = re.compile(r"\s+")
 _ENDS = re.compile(r"[.!?…。](?:\s|$)")
@@ -69,33 +76,66 @@ class Block:
         self.text, self.linked, self.tag, self.parent, self.role = text, linked, tag, parent, role
 
 
-def _role(tag: str, attributes: str, inherited: int) -> int:
-    """1 in an element named for content, -1 for boilerplate, 0 in neither. Boilerplate within content counts, not content within boilerplate."""
-    if inherited < 0:
-        return -1
-    if tag in _OTHER_TAGS or tag == "header" and inherited == 0:
-        return -1
-    role = 1 if tag in ("article", "main") else inherited
-    if attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return -1
-            if name == "role":
-                if value.lower() in _OTHER_ROLES:
-                    return -1
-                role = 1 if value.lower() in ("main", "article") else role
-            elif name in ("class", "id") and tag not in ("body", "html"):
-                if _OTHER_NAMES.search(value):
-                    return -1
-                if _CONTENT_NAMES.search(value):
-                    role = 1
-    return role
+def _own(tag: str, attributes: str) -> int:
+    """What an element is by its own tag and attributes: one of the levels below, 0, 1 (named for content), ARTICLE or MAIN."""
+    own = MAIN if tag == "main" else ARTICLE if tag == "article" else OTHER if tag in _OTHER_TAGS else LOOSE if tag == "form" else 0
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return HIDDEN
+        if name == "role":
+            value = value.lower()
+            if value in _OTHER_ROLES:
+                own = min(own, LOOSE if value == "form" else OTHER)
+            elif value in ("main", "article") and own >= 0:
+                own = max(own, MAIN if value == "main" else ARTICLE)
+        elif name in ("class", "id") and tag not in ("body", "html"):
+            for token in value.split():
+                if _OTHER_NAMES.search(token):
+                    level = LOOSE if _AROUND.search(token) else LISTED if _LISTS.search(token) else FIRM
+                    # what an article or main is named besides, as in has-sidebar, doesn't count
+                    own = own if own == MAIN or own == ARTICLE and level == LOOSE else min(own, level)
+                elif own == 0 and _CONTENT_NAMES.search(token):
+                    own = 1
+    return own
+
+
+def _role(tag: str, own: int, inherited: int, wrapper: bool) -> int:
+    """1 in an element named for content, below 0 for boilerplate, 0 in neither. Boilerplate within content counts, and main within boilerplate unless hidden."""
+    if HIDDEN in (own, inherited):
+        return HIDDEN
+    if own == MAIN:
+        return 1
+    if inherited < 0 or wrapper:
+        return inherited
+    if own < 0 or tag == "header" and inherited == 0:
+        return own or OTHER
+    return 1 if own else inherited
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The page's text blocks in order; comments, scripts, styles and other text that isn't shown are left out."""
-    stack: list[tuple[str, int, int]] = []  # tag, number, role
+    """The page's text blocks in order; comments, scripts, styles and other text that isn't shown are left out.
+
+    A form, or an element named for boilerplate, that contains the main part
+    of the page is no boilerplate: with a name like has-sidebar if any article
+    or main is inside, with a name like sidebar if what is inside outweighs
+    the content elsewhere, with one like comments if there is none elsewhere.
+    """
+    blocks, around = _parsed(html, frozenset())
+    wrappers: frozenset[int] = frozenset()
+    for level in (LOOSE, FIRM, LISTED):
+        if around[level]:
+            trial, _ = _parsed(html, wrappers | around[level])
+            before, after = (sum(len(b.text) for b in x if b.role > 0) for x in (blocks, trial))
+            if level == LOOSE or after > 2 * before and (level == FIRM or not before):
+                blocks, wrappers = trial, wrappers | around[level]
+    return blocks
+
+
+def _parsed(html: str, wrappers: frozenset[int]) -> tuple[list[Block], dict[int, set[int]]]:
+    """Blocks, where elements of the numbers in ``wrappers`` aren't boilerplate; and by level the boilerplate elements around articles and main."""
+    stack: list[tuple[str, int, int, int]] = []  # tag, number, role, own
+    around: dict[int, set[int]] = {LOOSE: set(), FIRM: set(), LISTED: set()}
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, number, at = 0, 0, 0, 0
@@ -105,7 +145,7 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = _SPACES.sub(" ", unescape("".join(parts))).strip()
             if text:
-                tag, parent, role = stack[-1] if stack else ("", -1, 0)
+                tag, parent, role, _ = stack[-1] if stack else ("", -1, 0, 0)
                 up = stack[-2][1] if len(stack) > 1 else -1
                 out.append(Block(text, min(linked, len(text)), tag, up if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dt", "dd", "td") else parent, role))
             parts.clear()
@@ -142,12 +182,20 @@ def blocks_of(html: str) -> list[Block]:
             if tag in _CLOSES and stack and stack[-1][0] in _CLOSES[tag]:
                 stack.pop()
             number += 1
-            stack.append((tag, number, _role(tag, m[4], stack[-1][2] if stack else 0)))
+            own, inherited = _own(tag, m[4]), stack[-1][2] if stack else 0
+            if own >= ARTICLE and inherited != HIDDEN:
+                outer = [(o, n) for _, n, _, o in stack if o < 0]
+                worst = min(outer, default=(0, 0))[0]
+                if own == MAIN:
+                    around[LOOSE].update(n for o, n in outer if o > OTHER)
+                elif worst in around:
+                    around[worst].update(n for _, n in outer)
+            stack.append((tag, number, _role(tag, own, inherited, number in wrappers), OTHER if tag == "header" and inherited <= 0 and own >= 0 else own))
     if at < len(html):
         unfinished = _UNFINISHED.search(html, at)
         parts.append(html[at : unfinished.start()] if unfinished else html[at:])
     flush()
-    return out
+    return out, around
 
 
 def features(blocks: list[Block]) -> np.ndarray:
