@@ -46,6 +46,22 @@ def test_pseudonyms(spark):
     assert pii.pseudonymised(df.limit(0)).count() == 0
 
 
+def test_values_before_other_tokens(spark):
+    ibans = ["ES9121000418450200051332", "AT611904300234573201", "SE4550000000058398257466", "PL61109010140000071219812874", "BE68539007547034", "GB29NWBK60161331926819", "NO9386011117947", "FR1420041010050500013M02606"]
+    ibans += [" ".join(i[k : k + 4] for k in range(0, len(i), 4)) for i in ibans]
+    phones = ["+1 (459) 555-9246", "+1 459 555 9246", "+14595559246", "+34 612 34 56 78", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "+44 20 7946 0958"]
+    ends = ["", " 2023", " EUR", " 12 2024", " 2024 2025 2026", ", 7", "."]
+    rows = [(v, e) for v in ibans + phones for e in ends]
+    df = spark.createDataFrame([(i, f"pay {v}{e}") for i, (v, e) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    alone = {v: got[i].text.removeprefix("pay ") for i, (v, e) in enumerate(rows) if not e}
+    for i, (v, e) in enumerate(rows):
+        assert got[i].text == f"pay {alone[v]}{e}" and alone[v] != v and got[i].pii_kinds == ["iban" if v in ibans else "phone"], (v, e, got[i].text)
+    long = spark.createDataFrame([(1, "call +49 30 1234567 12 2024 2025 now"), (2, "XX12 3456 7890 ES91 2100 0418 4502 0005 1332 EUR"), (3, "row +1 0 0 0 1 0 0 0 0 0 1")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(long).collect()}
+    assert got[1].pii_kinds == ["phone"] and "1234567" not in got[1].text and got[2].pii_kinds == ["iban"] and got[2].text.startswith("XX12 3456 7890 ES") and got[3].pii_kinds == []
+
+
 def test_permutations_are_bijective(spark):
     two = spark.range(100).select(F.format_string("%02d", "id").alias("v"))
     assert two.select(F.expr(pii._permuted("v", "0123456789", "t", "k"))).distinct().count() == 100

@@ -19,16 +19,42 @@ KEY = os.environ.get("TIDEMILL_PII_KEY", "example key")
 ROUNDS = 8
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Countries by the length of their IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Country codes by the numbers of digits that may follow them, where the plan of the country fixes these within one; others have up to 15 digits in all.
+PHONE_LENGTHS = {(7,): "354", (8,): "45 47 53 65 216 386 852 853", (9, 8): "32 36 51 66 213 359 385 886 971 972", (9,): "27 31 33 34 40 41 48 56 61 93 94 212 351 380 420 421 966", (10, 9): "44 81 84 92", (10,): "1 7 30 52 58 90 91 98", (11, 10): "54 55 86"}
+
+
+def _iban() -> str:
+    # other countries' lengths aren't known; they stop before what starts like an IBAN
+    known = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    fixed = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBAN_LENGTHS.items()]
+    other = f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{known})[0-9]{{2}}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return f"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*fixed, other])})(?![0-9A-Za-z])"
+
+
+def _phone() -> str:
+    mark = r"(?:[ .\-]|[ .\-]?\(|\)[ .\-]?)"  # a single digit stands only at the start
+    plans = [rf"(?:{codes.replace(' ', '|')})(?:[ .\-]?\(0\))?{mark}?[0-9](?:(?:{mark}(?=[0-9]{{2}}))?[0-9]){{{n - 1}}}(?![0-9])" for lengths, codes in PHONE_LENGTHS.items() for n in lengths]
+    # not after 16 digits: shorter ends are tried then
+    other = r"[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}" + rf"(?<!{r'[0-9][ .()\-]{0,3}' * 15}[0-9])"
+    return rf"(?<![0-9+])(?:\+(?:{'|'.join([*plans, other])})|\([0-9]{{3}}\) ?[0-9]{{3}}[ \-][0-9]{{4}}|[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}})(?![0-9])"
+
+
 #: What each kind looks like, tried in this order at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,6}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": _iban(),
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/\-]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])(?:(?:[0-9]{4}[ \-]){3}[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ \-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
+    "phone": _phone(),
 }
 _ANY = "|".join(PATTERNS.values())
 #: Every kind has one of these; texts without need no closer look.
