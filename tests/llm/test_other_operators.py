@@ -224,7 +224,8 @@ def brute_nearest(vecs, k):
 def test_nearest_is_exact_with_factor_one(spark, monkeypatch):
     monkeypatch.setattr(nearest, "SHARD_ROWS", 150)
     monkeypatch.setattr(nearest, "LEAF", 16)
-    monkeypatch.setattr(nearest, "QUERY_BYTES", 1000)
+    monkeypatch.setattr(nearest, "QUERIES", 10)
+    monkeypatch.setattr(nearest, "TREES", 2)
     df, vecs = vectors(spark)
     got = sorted(map(tuple, nearest.nearest(df, F.col("vec_id") % 20 == 0).collect()))
     assert got == brute_nearest(vecs, 20)

@@ -31,8 +31,10 @@ K = 20
 FACTOR = 1.0
 SHARD_ROWS = 8192
 LEAF = 128
-#: Bytes of query vectors that one pass sends to each task.
-QUERY_BYTES = 8 << 20
+#: Trees that one task holds, at most.
+TREES = 8
+#: Queries that stream past the trees of one task, about.
+QUERIES = 1 << 17
 #: Queries that meet a leaf at once.
 TOGETHER = 2048
 _NONE = np.iinfo(np.int64).max
@@ -78,9 +80,10 @@ class Tree:
         self.nodes[at] = (a, b, lifted[vantage][:-1], lifted[vantage][-1], far[order[middle]], (inner, outer, far[order[middle - 1]]))
         return at
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(points, exact scores), the k best of each query; -1 where there are fewer."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(points, exact scores), the k best of each query; -1 where there are fewer that score ``floor`` or more."""
         k = self.k
+        floor = np.full(len(queries), -np.inf) if floor is None else floor
         best = np.full((len(queries), k), -np.inf)
         which = np.full((len(queries), k), -1, dtype=np.int64)
         least = np.full((len(queries), k), _NONE)
@@ -93,7 +96,7 @@ class Tree:
 
         def meet(a: int, b: int, active: np.ndarray) -> None:
             rough = queries[active] @ self.points[a:b].T
-            row, point = np.nonzero(rough >= (best[active, -1] - margin[active])[:, None])
+            row, point = np.nonzero(rough >= (np.maximum(best[active, -1], floor[active]) - margin[active])[:, None])
             row, point = active[row], point + a
             own = self.first[point] == query_ids[row]
             name = np.where(own, self.second[point], self.first[point])
@@ -103,7 +106,7 @@ class Tree:
             for q, x in zip(columns, places):  # as exact_scores does
                 score += q[row] * x[point]
             end, last = best[row, -1], least[row, -1]
-            there = (score > end) | (score == end) & (name < last)
+            there = ((score > end) | (score == end) & (name < last)) & (score >= floor[row])
             row, point, name, score = row[there], point[there], name[there], score[there]
             if not len(row):
                 return
@@ -128,7 +131,7 @@ class Tree:
             apart = np.sqrt(np.maximum(level[active] - 2 * (queries[active] @ vantage), 0))
 
             def last(rows):  # distance of the last of the nearest so far, with room for rounding
-                return np.sqrt(np.maximum(level[rows] - 2 * best[rows, -1], 0)) + slack[rows]
+                return np.sqrt(np.maximum(level[rows] - 2 * np.maximum(best[rows, -1], floor[rows]), 0)) + slack[rows]
 
             near = apart < border
             visit(inner, active[near])
@@ -176,24 +179,61 @@ def _shards(width: int, top: float, k: int):
     return run
 
 
-def _searched(query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+def _expanded(tree: Tree, which: np.ndarray, best: np.ndarray, query_ids: np.ndarray):
+    """(row, id, score) of the found points' ids other than the query's own."""
+    row, slot = np.nonzero(which >= 0)
+    point, score = which[row, slot], best[row, slot]
+    size = np.array([len(tree.listed[p]) for p in point], dtype=np.int64)
+    ids = np.concatenate([tree.listed[p] for p in point]) if len(point) else np.zeros(0, np.int64)
+    row, score = np.repeat(row, size), np.repeat(score, size)
+    other = ids != query_ids[row]
+    return row[other], ids[other], score[other]
+
+
+def _first_k(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best of each row, ties to smaller ids, in order."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], score[keep]
+
+
+def _met(trees: list, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+    """The k nearest of each query over several trees; what one tree gives bounds the search of the next."""
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    floor = np.full(len(queries), -np.inf)
+    for tree in trees:
+        which, best = tree.search(query_ids, queries, factor, floor)
+        more = _expanded(tree, which, best, query_ids)
+        found = _first_k(*(np.concatenate(x) for x in zip(found, more)), k)
+        full = np.flatnonzero(np.bincount(found[0], minlength=len(queries)) >= k)
+        floor[full] = found[2][np.searchsorted(found[0], full, side="right") - 1]
+    return found
+
+
+def _searched(width: int, k: int, factor: float):
+    """Rows of a cell: first its trees, then its queries, which stream past them."""
+
     def run(batches):
+        cell, trees = None, []
         for batch in batches:
-            for blob in batch.column(0):
-                tree = pickle.loads(blob.as_py())
-                which, best = tree.search(query_ids, queries, factor)
-                row, slot = np.nonzero(which >= 0)
-                point, score = which[row, slot], best[row, slot]
-                size = np.array([len(tree.listed[p]) for p in point], dtype=np.int64)
-                ids = np.concatenate([tree.listed[p] for p in point]) if len(point) else np.zeros(0, np.int64)
-                row, score = np.repeat(row, size), np.repeat(score, size)
-                other = ids != query_ids[row]
-                row, score, ids = row[other], score[other], ids[other]
-                order = np.lexsort((ids, -score, row))
-                row, score, ids = row[order], score[order], ids[order]
-                first = np.searchsorted(row, np.arange(len(query_ids)))
-                keep = np.arange(len(row)) - first[row] < k
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row[keep]]), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+            cells = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, trees = cells[a], []
+                part = batch.slice(a, b - a)
+                blobs = part.column(1)
+                n = len(blobs) - blobs.null_count
+                trees += [pickle.loads(blobs[i].as_py()) for i in range(n)]
+                asked = part.slice(n)
+                for at in range(0, asked.num_rows, TOGETHER):
+                    some = asked.slice(at, TOGETHER)
+                    query_ids = some.column(2).to_numpy()
+                    row, ids, score = _met(trees, query_ids, _vectors(some.column(3), width), k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -206,30 +246,37 @@ def nearest(vectors: DataFrame, is_query, k: int = K, factor: float = FACTOR) ->
     without vec_id, and vectors of another length than most (of equally common
     lengths the longer) take no part. Rows with the query's own vec_id aren't
     its candidates; a vec_id in several rows with equal vectors counts once per
-    row. Ties go to the smaller vec_id. An empty table gives an empty result.
-    Queries go out in blocks of QUERY_BYTES, one pass over the trees each.
+    row. Ties go to the smaller vec_id. Vectors of any length work; a tree holds
+    SHARD_ROWS of them. An empty table gives an empty result.
+
+    Trees and queries meet in a grid of cells: a cell has some of the trees,
+    which stay in its task's memory, and a share of the queries, which stream
+    past them. Queries never leave the executors; a task returns k rows a query.
     """
     spark = vectors.sparkSession
     as_double = F.transform("embedding", lambda x: x.cast("double"))
-    clean = vectors.select("vec_id", as_double.alias("v")).filter(
+    clean = vectors.select("vec_id", as_double.alias("v"), is_query.alias("asked")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists("v", lambda x: x != 0)
     )
-    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)).alias("top")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
+    sizes = clean.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)).alias("top"), F.count(F.when(F.col("asked"), 1)).alias("asked")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n, top = sizes[0].d, sizes[0].n, float(np.sqrt(sizes[0].top)) * (1 + 1e-12)
+    width, n, asked, top = sizes[0].d, sizes[0].n, sizes[0].asked, float(np.sqrt(sizes[0].top)) * (1 + 1e-12)
     clean = clean.filter(F.size("v") == width)
-    trees = store(clean.repartition(max(1, -(-n // SHARD_ROWS))).mapInArrow(_shards(width, top, k), "tree binary"), "trees")
-    asked = clean.filter(is_query)
-    blocks = max(1, -(-asked.count() * width * 8 // QUERY_BYTES))
-    found = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        ids, order = rows["vec_id"].to_numpy(), np.argsort(rows["vec_id"].to_numpy(), kind="stable")
-        matrix = _vectors(rows["v"].combine_chunks(), width)[order] if len(ids) else np.zeros((0, width))
-        near = trees.mapInArrow(_searched(ids[order], matrix, k, factor), schema)
-        found = near if found is None else found.unionByName(near)
+    trees = store(clean.select("vec_id", "v").repartition(max(1, -(-n // SHARD_ROWS))).mapInArrow(_shards(width, top, k), "tree binary").withColumn("tree_id", F.monotonically_increasing_id()), "trees")
+    count = trees.count()
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few trees are spread over the tasks there are; of many, a task holds TREES
+    deep = min(TREES, max(1, -(-count // slots)))
+    across, down = -(-count // deep), max(1, -(-asked // QUERIES))
+    order = Window.orderBy("tree_id")  # one row per tree, thousands of vectors each
+    placed = trees.select("tree_id").withColumn("column", F.floor((F.row_number().over(order) - 1) / deep))
+    held = trees.join(F.broadcast(placed), "tree_id").select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("line"), "column", "tree", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("v"))
+    line = F.pmod(F.xxhash64("vec_id"), F.lit(down)).cast("int")
+    sent = clean.filter("asked").select(line.alias("line"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("column"), F.lit(None).cast("binary").alias("tree"), F.col("vec_id").alias("query_id"), "v")
+    cell = (F.col("line") * F.lit(across) + F.col("column")).cast("int")
+    grid = held.unionByName(sent).select(cell.alias("cell"), "tree", "query_id", "v").repartitionById(across * down, "cell").sortWithinPartitions("cell", F.isnull("tree"))
+    found = grid.mapInArrow(_searched(width, k, factor), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
