@@ -58,6 +58,31 @@ def test_near_duplicates_against_brute_force(spark, corpus, monkeypatch, block):
     assert any(not r[3] for r in got)
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_duplicates_in_chains_and_large_buckets(spark, monkeypatch, block):
+    """Copies that drift away from the first one, so that most pairs of a bucket are no links and components need the second pass."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    rows, n = [], 0
+    for chain in range(4):
+        words = [f"c{chain}w{i}" for i in range(120)]
+        for step in range(25):
+            rows.append((n, " ".join(words)))
+            n += 1
+            for k in range(5):  # a run of words, so few shingles change
+                words[(step * 5 + k) % 120] = f"c{chain}s{step}k{k}"
+    rows = rows[::-1] + [(n, rows[3][1]), (n + 1, rows[3][1])]
+    got = sorted(map(tuple, near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()))
+    assert got == brute_classes(rows)
+    assert len({r[2] for r in got}) < 20
+
+
+def test_near_duplicates_of_a_doc_id_with_several_texts(spark):
+    text = lambda k, n=12: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(3, text(1)), (5, text(1)), (4, text(2)), (5, text(2)), (9, text(3)), (9, text(4)), (10, text(3)), (11, text(4)), (12, text(5)), (12, None), (12, text(5))]
+    got = sorted(map(tuple, near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").distinct().collect()))
+    assert got == [(3, 3), (4, 3), (5, 3), (9, 9), (10, 9), (11, 9), (12, 12)]
+
+
 def test_near_duplicates_without_rows_or_ids(spark, corpus, empty):
     assert near_duplicates.near_duplicate_classes(empty).count() == 0
     anonymous = corpus.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
@@ -69,6 +94,9 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 120: 120, 150: 120, 200: 120}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = [(5, i) for i in range(6, 400)] + [(399, 2), (1000, 1001)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {**{i: 2 for i in (2, *range(5, 400))}, 1000: 1000, 1001: 1000}
 
 
 def brute_hits(rows, items):

@@ -7,42 +7,54 @@ from pyspark.sql import functions as F
 
 from .storage import discard, store
 
+#: Share of all edges over which a node's edges are joined by broadcast, and the fewest edges for which it pays.
+HEAVY_SHARE, HEAVY_LEAST = 10_000, 64
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation on distinct edges (u, v).
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One star operation on ``n`` distinct edges (u, v).
 
     Every node's neighbours are tied to the smallest of them and itself: the
     larger neighbours by large-star, the smaller ones and the node by
-    small-star. The minimum is pre-aggregated and joined back, so a node with
-    very many neighbours is split over tasks by the skew join.
+    small-star. The minimum is pre-aggregated and joined back. Nodes with over
+    n / HEAVY_SHARE edges, of which there can be 2 * HEAVY_SHARE at most, get
+    theirs by broadcast, so no task has to take all edges of one node.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    tied = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "low").alias("m"), "k")
+    least = store(least, "least")
+    heavy = max(HEAVY_LEAST, n // HEAVY_SHARE)
+    many, few = (least.filter(F.col("k") > heavy).select("u", "m"), least.filter(F.col("k") <= heavy).select("u", "m"))
+    marked = near.join(F.broadcast(many), "u", "left")
+    tied = marked.filter("m is not null").unionByName(marked.filter("m is null").select("u", "v").join(few, "u"))
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    out = store(out.filter("u <> v").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the integer edges (u, v); component is the smallest node reachable.
 
     Loops, repeated edges and null ends are ignored. An empty table gives an
-    empty result. Each round is written to the shared folder, so a lost
-    executor costs that round at most; the loop ends when a round changes
+    empty result. Each step is written to the shared folder, so a lost
+    executor costs that step at most; the loop ends when a round changes
     nothing, which is when every node points at its component's least node.
     """
     now = store(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     digest = [F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(20,0)))").alias("h")]
     seen = now.agg(*digest).collect()[0]
     for _ in range(max_rounds if seen.n else 0):
-        after = store(_star(_star(now, True), False), "edges")
+        half = _star(now, True, seen.n)
+        after = _star(half, False, seen.n)
         new = after.agg(*digest).collect()[0]
+        discard(half)
         discard(now)
         now = after
         if new == seen:
