@@ -11,10 +11,12 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in local tests."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset a temporary folder, but only in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="tidemill-"))
     return _fallback[0]
