@@ -117,14 +117,16 @@ def brute_hits(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pass_bytes", [32 << 20, 400])
-def test_decontamination_against_brute_force(spark, corpus, monkeypatch, pass_bytes):
-    monkeypatch.setattr(decontamination, "PASS_BYTES", pass_bytes)
+@pytest.mark.parametrize("small", [False, True])
+def test_decontamination_against_brute_force(spark, corpus, monkeypatch, small):
+    if small:  # hashed terms share bits and counters
+        monkeypatch.setattr(decontamination, "MAP_BITS", 8)
+        monkeypatch.setattr(decontamination, "COUNTERS", 2)
     rows = [r for r in rows_of(corpus) if r[1] is None or len(r[1]) < 20_000]
     long = [t for _, t in rows if t and len(t.split()) > 40]
     items = [(k, " ".join(t.split()[5 : 5 + n])) for k, (t, n) in enumerate(zip(long, [12, 30, 10, 25, 3, 14]))] + [(50, ""), (51, None), (9, "four words"), (10, "Four, WORDS!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, window string, shard int")
     got = decontamination.contamination(docs, bench)
     assert sorted(map(tuple, got.drop("n_near").collect())) == brute_hits(rows, items)
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
@@ -138,6 +140,37 @@ def test_near_phrases(spark):
     assert got == {1: (0, 1), 2: (1, 0), 3: (0, 0)}
 
 
+def test_near_phrases_against_brute_force(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 30, n)]
+    items = [(k, draw(n)) for k, n in enumerate([12, 10, 4, 3, 11])]
+    rows = []
+    for i in range(60):
+        words = draw(int(rng.integers(0, 40)))
+        _, item = items[i % 5]
+        part = list(item[: int(rng.integers(3, 13))])
+        for _ in range(int(rng.integers(0, 3))):
+            part.insert(int(rng.integers(0, len(part) + 1)), "zz")
+        at = int(rng.integers(0, len(words) + 1))
+        rows.append((i, words[:at] + part + words[at:]))
+
+    def near(w):
+        found = set()
+        for k, b in items:
+            n = min(10, len(b))
+            windows = [b[j : j + n] for j in range(len(b) - n + 1)]
+            if any(w[p : p + n] == v for v in windows for p in range(len(w))):
+                continue
+            if any(all(any(0 <= q < len(w) and w[q] == v[j] for q in range(s + j - 3, s + j + 4)) for j in range(n)) for v in windows for s in range(-3, len(w) + 3)):
+                found.add(k)
+        return len(found)
+
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items], "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {i: near(w) for i, w in rows} and sum(got.values()) > 5
+
+
 def test_bpe_against_the_library(spark, corpus, empty):
     from tokenizers import Tokenizer
 
