@@ -296,5 +296,55 @@ def test_label_model_learns_that_voters_copy_each_other():
     votes = np.column_stack([first, first, first, noisy(0.85), noisy(0.85)])
     q, found = toxicity.label_model(votes, noisy(0.8).astype(int))
     assert ((q > 0.5) == y).mean() > 0.88
-    assert found["correlation"][0, 1] > 0.8 > 0.3 > abs(found["correlation"][0, 3])
-    assert found["weight"][3] > found["weight"][0]
+    tree = {tuple(sorted((j, int(p)))) for j, p in enumerate(found["parent"]) if p >= 0}
+    assert len(tree) == 2 and all(b < 3 for _, b in tree)
+    # a copy whose original is known says nothing more
+    copy = next(j for j, p in enumerate(found["parent"]) if p >= 0)
+    assert abs(found["fires"][1, 1, copy] - found["fires"][0, 1, copy]) < 0.02 < 0.5 < found["fires"][1, 0, 3] - found["fires"][0, 0, 3]
+
+
+def test_label_model_against_plain_expectation_maximisation():
+    """The same iteration, with every probability of a row multiplied out on its own."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    n = 300
+    y = rng.random(n) < 0.4
+    a = rng.random(n) < np.where(y, 0.7, 0.2)
+    votes = np.column_stack([a, np.where(rng.random(n) < 0.8, a, ~a), rng.random(n) < np.where(y, 0.6, 0.1), rng.random(n) < np.where(y, 0.5, 0.3)])
+    gold = np.where(rng.random(n) < 0.9, y, ~y).astype(int)
+    q, found = toxicity.label_model(votes, gold)
+    x, parent = np.column_stack([votes, gold]).astype(int), found["parent"]
+    assert all(b >= a - 1e-6 * abs(a) - 0.05 for t in found["trace"] for a, b in zip(t, t[1:]))  # up to the pull of the prior rows
+    for i in range(n):
+        p = {1: found["prior"], 0: 1 - found["prior"]}
+        for c in (0, 1):
+            for j in range(x.shape[1]):
+                seen = x[i][parent[j]] if parent[j] >= 0 else 0
+                weight = [q[k] if c else 1 - q[k] for k in range(n)]
+                mean = (sum(w * r[j] for w, r in zip(weight, x)) + 1) / (sum(weight) + 2) if i == 0 else None
+                if i == 0:  # estimates are what the posteriors give
+                    own = [w for w, r in zip(weight, x) if (r[parent[j]] if parent[j] >= 0 else 0) == seen]
+                    hits = sum(w * r[j] for w, r in zip(weight, x) if (r[parent[j]] if parent[j] >= 0 else 0) == seen)
+                    assert found["fires"][c, seen, j] == pytest.approx((hits + toxicity.PRIOR_ROWS * mean) / (sum(own) + toxicity.PRIOR_ROWS), abs=1e-4)
+                f = found["fires"][c, seen, j]
+                p[c] *= f if x[i][j] else 1 - f
+        assert q[i] == pytest.approx(p[1] / (p[0] + p[1]), abs=1e-4)
+
+
+def test_label_model_overrules_flipped_labels(spark):
+    rng = np.random.Generator(np.random.PCG64(10))
+    plain = [f"w{i}" for i in range(400)]
+    bad = [f"zor{i}kan" for i in range(20)]
+    docs, labels, truth = [], [], {}
+    for i in range(1500):
+        toxic = int(rng.random() < 0.25)
+        words = rng.choice(plain, 40).tolist() + (rng.choice(bad, 5).tolist() if toxic else [])
+        truth[i] = toxic
+        docs.append((i, " ".join(rng.permutation(words).tolist())))
+    flipped = {i for i in truth if rng.random() < 0.05}
+    labels = [(i, 1, truth[i] ^ (i in flipped)) for i in truth]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    posterior = dict(zip(model.estimates["ids"], model.estimates["posterior"]))
+    wrong = [i for i in flipped if i in posterior]
+    assert len(wrong) > 40 and np.mean([(posterior[i] > 0.5) == truth[i] for i in wrong]) > 0.5
+    right = [i for i in posterior if i not in flipped]
+    assert np.mean([(posterior[i] > 0.5) == truth[i] for i in right]) > 0.99

@@ -2,11 +2,14 @@
 
 Voters are lexicons and patterns. Lexicons hold word forms, or beginnings of
 words, that the labelled sample shows far more often in toxic texts; fixed
-ones hold common insults. The given label of a training row is one more voter.
-The label model estimates each voter's behaviour under both hidden classes and
-how the voters' errors go together, by expectation maximisation, and yields a
-posterior label for every training row. A logistic regression on the presence
-of the selected features is fitted to these posteriors and scores all texts.
+ones hold common insults. The given label of a training row is one more voter,
+whose accuracy is estimated like any other's. The label model is a latent
+class with a tree of dependences: under either hidden class a voter fires with
+a probability that depends on the vote of its parent in the tree, which joins
+the voters whose votes the class leaves most correlated. Expectation
+maximisation gives these probabilities and a posterior label for every training
+row. A logistic regression on the presence of the selected features is fitted
+to the posteriors and scores all texts.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import frugal, store
-from .words import ALNUM, hash_words, spark_int, texts_of
+from .words import ALNUM, hash_words, mix, spark_int, texts_of
 
 #: Labelled rows of each label used for training, at most; chosen by a hash of doc_id.
 SAMPLE = 4000
@@ -25,16 +28,17 @@ SAMPLE = 4000
 FEATURES = 4096
 #: Leading bytes of words that are features beside whole words.
 PREFIXES = (4, 5, 6, 8)
+#: How many times a word or beginning has to stand in a text for features of their own.
+OFTEN = (2, 4)
 #: Rows that a feature must occur in to be used.
 SUPPORT = 3
 #: Rows of the sample's mix of labels that each feature's share of toxic rows is mixed with.
 SHRINK = 10
-#: Share of toxic and of clean rows that are labelled toxic: the labels are taken for rarely wrong.
-TRUST = (0.9999, 0.0001)
 #: Features go into a lexicon if over this share of the rows that have them, so mixed, is toxic; chance finds in long texts stay out.
 SURE = 0.6
-#: Learned lexicons that vote.
+#: Learned lexicons that vote, and numbers of signs of all of them together that make further voters fire.
 LEXICONS = 12
+SIGNS = (1, 3, 6)
 
 #: Insults and abuse, by language, that vote as lexicons of their own.
 INSULTS = {
@@ -60,7 +64,7 @@ PATTERNS = 4
 
 
 def _features(texts: list[bytes]):
-    """(feature hashes, text of each, words of each text): words and beginnings of words of all texts."""
+    """(feature hashes, text of each, words of each text): words and beginnings of words of all texts, each once, and which of these stand there at least twice or four times."""
     words, bounds, begun = hash_words(texts, ALNUM, PREFIXES)
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(texts)), n)
@@ -69,17 +73,25 @@ def _features(texts: list[bytes]):
         long = h != 0
         hashes.append(h[long])
         owners.append(owner[long])
-    return np.concatenate(hashes), np.concatenate(owners), n
+    pairs = np.rec.fromarrays([np.concatenate(owners), np.concatenate(hashes)], names="o,h")
+    order = np.lexsort((pairs.h, pairs.o))
+    owner, feature = pairs.o[order], pairs.h[order]
+    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(owner)))
+    owner, feature = owner[new], feature[new]
+    often = [(owner[times >= k], mix(feature[times >= k] + np.uint64(k))) for k in OFTEN]
+    return np.concatenate([feature, *(h for _, h in often)]), np.concatenate([owner, *(o for o, _ in often)]), n
 
 
 def _sample_features(batches):
     for rows, texts in texts_of(batches):
         hashes, owner, n = _features(texts)
-        pair = np.unique(np.rec.fromarrays([owner, hashes], names="o,h"))
-        cut = np.searchsorted(pair.o, np.arange(len(texts) + 1)).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        cut = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
         marks = [list(_patterns(t, int(m))) for t, m in zip(texts, n)]
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(2), pa.ListArray.from_arrays(pa.array(cut), pa.array(spark_int(pair.h.astype(np.uint64)))), pa.array(marks, pa.list_(pa.bool_()))],
+            [rows.column(0), rows.column(2), pa.ListArray.from_arrays(pa.array(cut), pa.array(spark_int(hashes))), pa.array(marks, pa.list_(pa.bool_()))],
             names=["doc_id", "toxic", "features", "marks"],
         )
 
@@ -101,41 +113,92 @@ class Presence:
         return both // len(self.sorted), both % len(self.sorted)
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 100, trust: tuple[float, float] | None = None) -> tuple[np.ndarray, dict]:
+#: Rows by which a voter's probability under a class and a parent's vote is drawn to its probability under the class.
+PRIOR_ROWS = 2.0
+#: Trees that are tried in turn.
+TREES = 5
+
+
+def dependence_tree(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Parent of each voter, or -1: the spanning forest of largest mutual information of votes given the hidden class.
+
+    Pairs whose information doesn't exceed what chance gives, two parameters'
+    worth by the Bayesian criterion, aren't joined.
+    """
+    n, d = x.shape
+    info = np.zeros((d, d))
+    for weight in (q, 1 - q):
+        total = weight.sum()
+        if total < 1:
+            continue
+        on = x.T @ weight / total
+        both = (x * weight[:, None]).T @ x / total
+        for cell, a, b in ((both, on[:, None], on[None, :]), (on[:, None] - both, on[:, None], 1 - on[None, :]), (on[None, :] - both, 1 - on[:, None], on[None, :]), (1 - on[:, None] - on[None, :] + both, 1 - on[:, None], 1 - on[None, :])):
+            cell = np.maximum(cell, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                info += total * np.where(cell > 0, cell * np.log(cell / np.maximum(a * b, 1e-300)), 0)
+    info[info < np.log(max(n, 2))] = 0
+    parent, best, link = np.full(d, -1), np.zeros(d), np.full(d, -1)
+    left = set(range(d))
+    while left:  # Prim's algorithm, a new root wherever nothing is joined
+        j = max(left, key=lambda i: (best[i], -i))
+        left.remove(j)
+        parent[j] = link[j]
+        for i in left:
+            if info[j, i] > best[i]:
+                best[i], link[i] = info[j, i], j
+    return parent
+
+
+def vote_likelihood(x: np.ndarray, parent: np.ndarray, fires: np.ndarray) -> np.ndarray:
+    """Log probability of each row's votes under clean and toxic: ``fires[c, v, j]`` is that of voter j firing if its parent voted v."""
+    seen = np.where(parent >= 0, x[:, parent], 0).astype(int)
+    out = np.empty((len(x), 2))
+    for c in (0, 1):
+        p = fires[c][seen, np.arange(x.shape[1])]
+        out[:, c] = np.log(np.where(x > 0, p, 1 - p)).sum(axis=1)
+    return out
+
+
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:
     """Posterior probability of the positive class for each row of binary votes (1: the voter fires).
 
-    Under each hidden class every voter fires with a probability of its own.
-    What the posteriors leave unexplained shows which voters err together; a
-    voter's evidence is divided by one plus its correlations with the others,
-    so that copies of a voter count once. ``gold`` (0 or 1 per row) votes like
-    the others and, softened, starts the iteration; ``trust`` fixes how often it
-    fires for either class, where that is known. Returns the posteriors and the
-    estimates.
+    ``gold`` (0 or 1 per row) votes like the others, tied to no other voter,
+    and, softened, starts the iteration. Expectation maximisation runs with the
+    tree that the posteriors so far show, beginning with the labels, until
+    the tree stays the same, TREES times at most. Returns the posteriors and
+    the estimates.
     """
     x = np.column_stack([votes, gold]).astype(float)
+    n, d = x.shape
     q = np.where(np.asarray(gold) == 1, 0.8, 0.2).astype(float)
-    for _ in range(rounds):
-        w1, w0 = q.sum(), (1 - q).sum()
-        prior = (w1 + 1) / (w1 + w0 + 2)
-        fires1, fires0 = (q @ x + 1) / (w1 + 2), ((1 - q) @ x + 1) / (w0 + 2)
-        if trust:
-            fires1[-1], fires0[-1] = trust
-        rest = x - np.outer(q, fires1) - np.outer(1 - q, fires0)
-        rest -= rest.mean(axis=0)
-        spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        correlation = rest.T @ rest / np.outer(spread, spread)
-        others = np.where(correlation > 0.1, correlation, 0.0)
-        np.fill_diagonal(others, 0.0)
-        weight = 1 / (1 + others.sum(axis=1))
-        if trust:
-            weight[-1] = 1.0
-        logit = x @ (weight * np.log(fires1 / fires0)) + (1 - x) @ (weight * np.log((1 - fires1) / (1 - fires0))) + np.log(prior / (1 - prior))
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        done = np.abs(new - q).max() < 1e-6
-        q = new
-        if done:
+    parent = np.full(d, -2)
+    trace: list[list[float]] = []
+    for _ in range(TREES):
+        before, parent = parent, np.append(dependence_tree(x[:, :-1], q), -1)
+        if (parent == before).all():
             break
-    return q, {"prior": prior, "fires_if_toxic": fires1, "fires_if_clean": fires0, "correlation": correlation, "weight": weight}
+        seen = np.where(parent >= 0, x[:, parent], 0)
+        trace.append([])
+        for _ in range(rounds):
+            prior = (q.sum() + 1) / (n + 2)
+            fires = np.empty((2, 2, d))
+            for c, weight in ((0, 1 - q), (1, q)):
+                mean = (weight @ x + 1) / (weight.sum() + 2)
+                for v in (0, 1):
+                    own = weight[:, None] * (seen == v)
+                    fires[c, v] = ((own * x).sum(axis=0) + PRIOR_ROWS * mean) / (own.sum(axis=0) + PRIOR_ROWS)
+            fires = np.clip(fires, 1e-6, 1 - 1e-6)
+            joint = vote_likelihood(x, parent, fires) + np.log([1 - prior, prior])
+            top = joint.max(axis=1)
+            whole = top + np.log(np.exp(joint - top[:, None]).sum(axis=1))
+            new = np.exp(joint[:, 1] - whole)
+            trace[-1].append(float(whole.sum()))
+            done = np.abs(new - q).max() < 1e-6
+            q = new
+            if done:
+                break
+    return q, {"prior": prior, "parent": parent, "fires": fires, "trace": trace}
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, target: np.ndarray, ridge: float = 0.1, steps: int = 300) -> np.ndarray:
@@ -208,15 +271,16 @@ def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Mod
     toxic = np.flatnonzero((lift > np.log(4)) & (share > SURE))[: 40 * LEXICONS]
     of = np.full(width, -1)
     of[toxic] = np.arange(len(toxic)) % LEXICONS
-    votes = np.zeros((n, LEXICONS + len(INSULTS) + PATTERNS + 1), dtype=bool)
+    votes = np.zeros((n, LEXICONS + len(INSULTS) + PATTERNS + len(SIGNS)), dtype=bool)
     use = of[column] >= 0
     votes[at[use], of[column[use]]] = True
     for k, words in enumerate(INSULTS.values()):
         known = np.isin(features, hash_words([w.encode() for w in words.split()], ALNUM)[0])
         votes[at[known[column]], LEXICONS + k] = True
-    votes[:, LEXICONS + len(INSULTS) : -1] = np.array([list(r.marks) for r in rows], dtype=bool)
-    votes[:, -1] = np.bincount(at[use], minlength=n) >= 2
-    posterior, estimates = label_model(votes, y, trust=TRUST)
+    votes[:, LEXICONS + len(INSULTS) : -len(SIGNS)] = np.array([list(r.marks) for r in rows], dtype=bool)
+    votes[:, -len(SIGNS) :] = np.bincount(at[use], minlength=n)[:, None] >= np.array(SIGNS)
+    posterior, estimates = label_model(votes, y)
+    estimates |= {"ids": [r.doc_id for r in rows], "posterior": posterior}
     # toxic texts of the sample hold several signs each; rows of a single sign teach what one is worth
     alone = n + np.arange(len(toxic))
     # and rows without any feature keep texts of unknown words, which show no sign, on the clean side
@@ -249,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     best = counted.select("f", F.log(p1 / p0).alias("lift"), gain.alias("gain"), ((F.col("k1") + SHRINK * n1 / (n1 + n0)) / (F.col("k1") + F.col("k0") + SHRINK)).alias("share")).orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
     features = np.array([r.f for r in best], dtype=np.int64).view(np.uint64)
     chosen = [int(r.f) for r in best]
-    few = sample.select("toxic", F.array_intersect("features", F.lit(chosen).cast("array<long>")).alias("features"), "marks")
+    few = sample.select("doc_id", "toxic", F.array_intersect("features", F.lit(chosen).cast("array<long>")).alias("features"), "marks")
     return _fit(few.collect(), features, np.array([r.lift for r in best]), np.array([r.share for r in best]))
 
 
@@ -277,7 +341,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``.
 
     The score is a function of the text alone: repeated rows and equal texts
-    have equal scores, and null texts count as empty. Rows of ``labels`` with
+    have equal scores, null texts count as empty, and texts of any length are
+    scored whole. Rows of ``labels`` with
     null or other labels are left out of training; if one label is missing,
     every score is the smoothed share of the other's rows. A null doc_id is
     not held out. An empty table gives an empty result.
