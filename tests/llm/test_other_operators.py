@@ -189,6 +189,64 @@ def test_articles_inside_named_wrappers(around):
     assert html.main_text(f"<body>{around.format(ARTICLE)}</body>") == "T\n\nThe pump was stopped. It started again a day later.\n\nNobody knows why."
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>One <svg/> two.</p><p>Three <svg class='i'><path/><text>x</text></svg>four.</p><math/><p>Five.</p></article>", "One two.\n\nThree four.\n\nFive."),
+    ("<article><p>One <datalist><option value=a>A<option value=b>B</datalist> two.</p><p>Three <select><optgroup><option>x</select>.</p></article>", "One two.\n\nThree ."),
+    ("<article><datalist><option>A</article><p>no</p>", ""),
+    ("<article><p>Press <button>Go</button> now, please do.</p><div><svg><g>unclosed</div><p>Kept as it is.</p></article>", "Press now, please do.\n\nKept as it is."),
+    ("<div class='content'><div class='entry-header'><h1>Title</h1></div><p>The text of it. It goes on.</p></div>", "Title\n\nThe text of it. It goes on."),
+    ("<article class='more'><p>Text of it. It goes on.</p></article>", "Text of it. It goes on."),
+])
+def test_elements_that_show_no_text(page, text):
+    assert html.main_text(f"<body>{page}</body>") == text
+
+
+def test_the_cut_decides_where_no_name_does():
+    prose = "The pump was stopped in spring, and it started again a day later. Nobody knows why it did."
+    menu = "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(12))
+    page = f"<body><ul>{menu}</ul><div><p>{prose}</p><p>So.</p><p>{prose}</p><p>Or</p><p>{prose}</p></div><ul>{menu}</ul></body>"
+    blocks = html.blocks_of(page)
+    odds, keep = html.Classifier().odds(blocks), html.labelled(blocks, html.Classifier())
+    assert not any(b.role for b in blocks) and ((odds > 0) != keep).sum() >= 2
+    assert html.main_text(page) == f"{prose}\n\nSo.\n\n{prose}\n\nOr\n\n{prose}"
+
+
+def test_names_that_no_list_has_are_learned(spark):
+    prose = "The pump was stopped in spring, and it started again a day later. Nobody knows why."
+    page = lambda i: f"<nav><a>x</a></nav><article><div class='zq-lead'><p>{prose}</p></div></article><aside><div class='zq-box'><p>{prose} {i}</p></div></aside>"
+    df = spark.createDataFrame([(i, "u", page(i)) for i in range(40)], "page_id long, url string, html string")
+    model = html.train(df)
+    assert model.names["zq-lead"] > 0.5 > -0.5 > model.names["zq-box"]
+    assert html.main_text(f"<div class='zq-lead'><p>{prose}</p></div><div><div class='zq-box'><p>Short.</p></div></div>", model) == prose
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    page = "<div>" + "<p>word</p><p><a href=x>link</a></p><p>Some more words here.</p>" * 33_334 + "</div>"
+    blocks = html.blocks_of(page)
+    began = time.perf_counter()
+    html.labelled(blocks, html.Classifier())
+    assert len(blocks) > 100_000 and time.perf_counter() - began < 15
+
+
+def test_minimum_cut_with_edges_that_never_cross():
+    rng = np.random.Generator(np.random.PCG64(14))
+    for _ in range(80):
+        n = int(rng.integers(3, 10))
+        odds = rng.normal(size=n) * 1.5
+        parents = rng.integers(0, 3, n)
+        parents.sort() if rng.random() < 0.5 else None
+        edges = [(i - 1, i, 0.5) for i in range(1, n)]
+        last = {}
+        for i, p in enumerate(parents.tolist()):
+            if p in last:
+                edges.append((last[p], i, 1.0))
+            last[p] = i
+        cost = lambda s: sum(max(o, 0) if not k else max(-o, 0) for o, k in zip(odds, s)) + sum(w for a, b, w in edges if s[a] != s[b])
+        assert cost(html.minimum_cut(odds, edges)) == pytest.approx(min(cost(s) for s in itertools.product([False, True], repeat=n)))
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.Generator(np.random.PCG64(4))
     for _ in range(60):
