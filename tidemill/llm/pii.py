@@ -4,7 +4,8 @@ A found value is validated and then permuted within its format by a keyed
 Feistel network, so equal values get equal pseudonyms in all documents,
 different values get different ones, and the pseudonym still is a valid value:
 card numbers keep their check digit, IBANs their check pair, dates stay dates.
-Values that don't pass their validation are left alone.
+Values that don't pass their validation are left alone, and so are numbers that
+could be anything, like ten digits without a mark of a phone number.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: Key of the permutation; keep it secret in production.
 KEY = os.environ.get("TIDEMILL_PII_KEY", "example key")
 ROUNDS = 8
+#: Steps by which a date before which the day stands may be moved on; all of them miss with a probability of 1e-10.
+WALK = 24
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Countries by the length of their IBAN.
@@ -48,8 +51,10 @@ def _phone() -> str:
 #: What each kind looks like, tried in this order at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,6}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
+    "token": r"(?<![0-9A-Za-z_\-])(?:A(?:KI|SI)A[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,76}|github_pat_[0-9A-Za-z_]{22,100}|glpat-[0-9A-Za-z_\-]{20,40}|xox[abeprs]-[0-9A-Za-z\-]{10,120}|sk-(?:[a-z]{2,8}-)?[0-9A-Za-z_\-]{20,160}|[rs]k_(?:live|test)_[0-9A-Za-z]{16,64}|AIza[0-9A-Za-z_\-]{35}|eyJ[0-9A-Za-z_\-]{8,2000}\.[0-9A-Za-z_\-]{8,2000}\.[0-9A-Za-z_\-]{8,1000})(?![0-9A-Za-z_])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": _iban(),
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{2,4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/\-]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -67,7 +72,7 @@ def _sql(text: str) -> str:
 
 
 def _permuted(value: str, alphabet: str, tag: str, key: str) -> str:
-    """SQL for a keyed permutation of the strings of one length over ``alphabet``.
+    """SQL for a keyed permutation of the strings of one length over ``alphabet``; ``tag`` is SQL as well.
 
     The string is halved; in turn each half gets, symbol by symbol, a keyed
     hash of the other half added modulo the alphabet's size.
@@ -75,7 +80,7 @@ def _permuted(value: str, alphabet: str, tag: str, key: str) -> str:
     r, a = len(alphabet), _sql(alphabet)
 
     def added(x: str, other: str) -> str:
-        digest = f"sha2(concat_ws('|', {_sql(key)}, {_sql(tag)}, cast(i as string), cast(length({x}) as string), {other}), 512)"
+        digest = f"sha2(concat_ws('|', {_sql(key)}, {tag}, cast(i as string), cast(length({x}) as string), {other}), 512)"
         place = f"instr({a}, substr({x}, j, 1)) - 1 + cast(conv(substr({digest}, pmod(2 * j - 2, 128) + 1, 2), 16, 10) as int)"
         return f"if({x} = '', '', array_join(transform(sequence(1, length({x})), j -> substr({a}, cast(pmod({place}, {r}) as int) + 1, 1)), ''))"
 
@@ -110,6 +115,19 @@ def _put_back(value: str, symbols: str, replaced: str) -> str:
     return f"transform(array({replaced}), w -> array_join(transform(sequence(1, length({value})), k -> {one}), ''))[0]"
 
 
+#: Classes of symbols that are permuted each among themselves.
+_ALNUM = (("0-9", _DIGITS), ("a-z", _LOWER), ("A-Z", _UPPER))
+_HEX = (("0-9", _DIGITS), ("a-f", "abcdef"), ("A-F", "ABCDEF"))
+
+
+def _by_class(value: str, classes, tag: str, key: str) -> str:
+    """SQL that permutes the symbols of each class where they stand, keyed by all that the other classes have there."""
+    for symbols, alphabet in classes:
+        seen = f"concat('{tag} {symbols} ', regexp_replace(x, '[{symbols}]', '#'))"
+        value = f"transform(array({value}), x -> {_put_back('x', symbols, _permuted(_only('x', symbols), alphabet, seen, key))})[0]"
+    return value
+
+
 def _luhn_sum(digits: str, start: int) -> str:
     """SQL for the Luhn sum; ``start`` is 0 if the last digit counts once, 1 if twice."""
     d = f"cast(substr(reverse({digits}), p, 1) as int)"
@@ -131,26 +149,28 @@ def _pseudonym(v: str, key: str) -> str:
         cases.append(f"when {v} rlike {_sql('^(?:' + PATTERNS[kind] + ')$')} and ({valid}) then named_struct('kind', '{kind}', 'new', {new})")
 
     name, host = f"substring_index({v}, '@', 1)", f"substring_index({v}, '@', -1)"
-    local = name
-    for symbols, alphabet in (("0-9", _DIGITS), ("a-z", _LOWER), ("A-Z", _UPPER)):
-        # ties the three permutations to one another: each sees which symbols the others don't touch
-        tag = f"email {symbols}"
-        local = f"transform(array({local}), x -> {_put_back('x', symbols, _permuted(_only('x', symbols), alphabet, tag, key))})[0]"
-    case("email", "true", f"concat({local}, '@', {host})")
+    case("email", "true", f"concat({_by_class(name, _ALNUM, 'email', key)}, '@', {host})")
+    # what such keys begin with says what they are, and stays
+    start = f"regexp_extract({v}, '^(?:A(?:KI|SI)A|AIza|eyJ|[A-Za-z]+(?:_live_|_test_|_pat_|[_-]))', 0)"
+    case("token", "true", f"concat({start}, {_by_class(f'substr({v}, length({start}) + 1)', _ALNUM, 'token', key)})")
     case("secret", f"{v} rlike '[0-9]' and {v} rlike '[A-Fa-f]'",
-         f"if({v} = lower({v}), {_permuted(v, '0123456789abcdef', 'secret', key)}, {_permuted(v, '0123456789ABCDEF', 'secret', key)})")
+         f"if({v} = lower({v}), {_permuted(v, '0123456789abcdef', _sql('secret'), key)}, {_permuted(v, '0123456789ABCDEF', _sql('secret'), key)})")
     plain = f"replace({v}, ' ', '')"
     account = f"substr({plain}, 5)"
-    moved = f"transform(array({_put_back(account, '0-9', _permuted(_only(account, '0-9'), _DIGITS, 'iban', key))}), b -> concat(substr({plain}, 1, 2), lpad(cast(98 - {_mod97(f'concat(b, substr({plain}, 1, 2), {_sql('00')})')} as string), 2, '0'), b))[0]"
+    moved = f"transform(array({_put_back(account, '0-9', _permuted(_only(account, '0-9'), _DIGITS, _sql('iban'), key))}), b -> concat(substr({plain}, 1, 2), lpad(cast(98 - {_mod97(f'concat(b, substr({plain}, 1, 2), {_sql('00')})')} as string), 2, '0'), b))[0]"
     case("iban", f"{_mod97(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1 and length({plain}) between 15 and 34", _put_back(v, "A-Z0-9", moved))
+    case("ipv6", "true", _by_class(v, _HEX, "ipv6", key))
     octet = lambda n: f"cast(split({v}, '[.]')[{n}] as bigint)"
     ip = _number(f"({octet(0)} * 16777216 + {octet(1)} * 65536 + {octet(2)} * 256 + {octet(3)})", 0, 65536, 65536, "ipv4", key)
     case("ipv4", "true", f"transform(array({ip}), n -> concat_ws('.', cast(n div 16777216 as string), cast(n div 65536 % 256 as string), cast(n div 256 % 256 as string), cast(n % 256 as string)))[0]")
-    day = f"case when {v} rlike '^[0-9]{{4}}-' then try_to_date({v}, 'yyyy-MM-dd') when {v} rlike '/' then try_to_date({v}, 'MM/dd/yyyy') else try_to_date({v}, 'dd.MM.yyyy') end"
+    day = f"case when {v} rlike '^[0-9]{{4}}-' then try_to_date({v}, 'yyyy-MM-dd') when {v} rlike '/' then coalesce(try_to_date({v}, 'MM/dd/yyyy'), try_to_date({v}, 'dd/MM/yyyy')) else try_to_date({v}, 'dd.MM.yyyy') end"
     # the 400 years from 1800 have 189 * 773 days
-    moved = f"date_add(date'1800-01-01', cast({_number(f'datediff({day}, date{_sql('1800-01-01')})', 0, 189, 773, 'date', key)} as int))"
+    move = lambda d: f"date_add(date'1800-01-01', cast({_number(f'datediff({d}, date{_sql('1800-01-01')})', 0, 189, 773, 'date', key)} as int))"
+    # a day over 12 before the month stays one, or it would be read as a month: moved on until it is
+    late = f"aggregate(sequence(1, {WALK}), {day}, (d, k) -> if(k > 1 and day(d) > 12, d, {move('d')}))"
+    first = f"{v} rlike '/' and cast(substr({v}, 1, 2) as int) > 12"
     case("date", f"({day}) between date'1800-01-01' and date'2199-12-31'",
-         f"transform(array({moved}), n -> case when {v} rlike '^[0-9]{{4}}-' then date_format(n, 'yyyy-MM-dd') when {v} rlike '/' then date_format(n, 'MM/dd/yyyy') else date_format(n, 'dd.MM.yyyy') end)[0]")
+         f"if({first}, date_format({late}, 'dd/MM/yyyy'), transform(array({move(f'({day})')}), n -> case when {v} rlike '^[0-9]{{4}}-' then date_format(n, 'yyyy-MM-dd') when {v} rlike '/' then date_format(n, 'MM/dd/yyyy') else date_format(n, 'dd.MM.yyyy') end)[0])")
     area, rest = f"cast(substr({v}, 1, 3) as bigint)", f"(cast(substr({v}, 5, 2) as bigint) - 1) * 9999 + cast(substr({v}, 8, 4) as bigint) - 1"
     # areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999
     whole = f"(({area} - if({area} > 666, 2, 1)) * 989901 + {rest})"
@@ -159,12 +179,12 @@ def _pseudonym(v: str, key: str) -> str:
          f"transform(array({ssn}), n -> concat(lpad(cast(n div 989901 + if(n div 989901 >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast(n % 989901 div 9999 + 1 as string), 2, '0'), '-', lpad(cast(n % 989901 % 9999 + 1 as string), 4, '0')))[0]")
     digits = _only(v, "0-9")
     payload = f"substr({digits}, 1, length({digits}) - 1)"
-    moved = f"transform(array({_permuted(payload, _DIGITS, 'card', key)}), b -> concat(b, cast(pmod(10 - {_luhn_sum('b', 1)} % 10, 10) as string)))[0]"
+    moved = f"transform(array({_permuted(payload, _DIGITS, _sql('card'), key)}), b -> concat(b, cast(pmod(10 - {_luhn_sum('b', 1)} % 10, 10) as string)))[0]"
     case("card", f"{_luhn_sum(digits, 0)} % 10 = 0", _put_back(v, "0-9", moved))
     # the country's digits stay: all before the first mark after a plus
     country = f"if({v} rlike '^[+]', regexp_extract({v}, '^[+][0-9]{{1,3}}', 0), '')"
     national = f"substr({v}, length({country}) + 1)"
-    case("phone", f"length({digits}) between 8 and 15", f"concat({country}, {_put_back(national, '0-9', _permuted(_only(national, '0-9'), _DIGITS, 'phone', key))})")
+    case("phone", f"length({digits}) between 8 and 15", f"concat({country}, {_put_back(national, '0-9', _permuted(_only(national, '0-9'), _DIGITS, _sql('phone'), key))})")
     return f"case {' '.join(cases)} else named_struct('kind', cast(null as string), 'new', {v}) end"
 
 
@@ -172,16 +192,20 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with every valid value of a kind in PATTERNS replaced in the column ``text``, and the array ``pii_kinds`` of the kinds replaced, in text order.
 
     All other columns stay as they are; a null text stays null, with an empty
-    array. Texts without values are unchanged. A value's pseudonym depends on
-    nothing but the value and the key. Repeated rows stay; an empty table
-    gives an empty result. Columns of ``docs`` named pii_kinds are replaced.
+    array. Texts without values are unchanged; texts of any length are searched
+    whole. A value's pseudonym depends on nothing but the value and the key.
+    Repeated rows stay, with equal results; an empty table gives an empty
+    result. A column of ``docs`` named pii_kinds is replaced.
     """
+    work = "_found"
+    while work in docs.columns:
+        work += "_"
     found = F.expr(f"if(text rlike '{_GATE}', transform(regexp_extract_all(text, {_sql(_ANY)}, 0), v -> {_pseudonym('v', key)}), cast(array() as array<struct<kind:string,new:string>>))")
-    marked = docs.withColumn("_found", found)
+    marked = docs.withColumn(work, found)
     between = f"split(text, {_sql(_ANY)}, -1)"
-    woven = f"if(size(_found) > 0, transform(array({between}), p -> array_join(transform(p, (x, k) -> concat(x, coalesce(get(_found, k).new, ''))), ''))[0], text)"
-    kinds = "coalesce(transform(filter(_found, f -> f.kind is not null), f -> f.kind), cast(array() as array<string>))"
-    return marked.withColumn("text", F.expr(woven)).withColumn("pii_kinds", F.expr(kinds)).drop("_found")
+    woven = f"if(size({work}) > 0, transform(array({between}), p -> array_join(transform(p, (x, k) -> concat(x, coalesce(get({work}, k).new, ''))), ''))[0], text)"
+    kinds = f"coalesce(transform(filter({work}, f -> f.kind is not null), f -> f.kind), cast(array() as array<string>))"
+    return marked.withColumn("text", F.expr(woven)).withColumn("pii_kinds", F.expr(kinds)).drop(work)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
