@@ -1,6 +1,8 @@
 """Licence notices by a trained paragraph classifier, scored in SQL expressions only.
 
-Each paragraph's word n-grams meet the weights of a sparse multinomial logistic
+A paragraph is a line, and also each run of adjacent lines with words of
+licences, so that a notice that is wrapped is judged as a whole. Its word
+n-grams meet the weights of a sparse multinomial logistic
 regression over licence families and plain prose. A paragraph that looks like a
 licence but whose best family is not probable enough is unknown; the bound is
 calibrated on families left out of training. A family must also be confirmed by
@@ -196,14 +198,16 @@ def _strings(values) -> str:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id and the array ``notices`` of each row of ``docs`` (doc_id, text): paragraph (from 0), family, probability and similarity.
+    """doc_id and the array ``notices`` of each row of ``docs`` (doc_id, text): paragraph (its first line, from 0), family, probability and similarity.
 
-    A paragraph is a line. One that is more likely a licence notice than prose
-    is listed: with its family if that is probable enough and confirmed, else
-    as ``unknown``. Texts that are null, empty or without any word of the
-    templates have an empty array; a paragraph without such words scores as
-    prose, so skipping it changes nothing. Rows are judged each by itself,
-    repeated ones alike; an empty table gives an empty result.
+    A paragraph that is more likely a licence notice than prose is listed: with
+    its family if that is probable enough and confirmed, else as ``unknown``.
+    Adjacent lines with licence words are one paragraph if, joined, they have a
+    confirmed family and no line has another one; else each line is one. Texts
+    that are null, empty or without any word of the templates have an empty
+    array; a line without such words scores as prose, so skipping it changes
+    nothing. Texts of any length are read whole. Rows are judged each by
+    itself, repeated ones alike; an empty table gives an empty result.
     """
     model, bound = trained()
     n = len(model.families)
@@ -236,11 +240,21 @@ def scanned(docs: DataFrame) -> DataFrame:
     # cheap first: only lines with a word of the templates can be anything but prose
     marked = docs.select("doc_id", "text").withColumn("words", F.expr(f"if(text is null, array(), {spaced('text')})"))
     gated = marked.withColumn("any", F.expr(f"arrays_overlap(words, {_strings(anchors)})"))
-    lines = f"if(any, filter(transform(split(text, '\\n'), (line, j) -> struct(line, j)), l -> arrays_overlap({spaced('l.line')}, {_strings(anchors)})), cast(array() as array<struct<line:string,j:int>>))"
+    # lines with such a word keep their number, others become borders: what stands between these is a run
+    numbered = f"array_join(transform(split(text, '\\n'), (line, j) -> if(arrays_overlap({spaced('line')}, {_strings(anchors)}), concat(cast(j as string), chr(2), translate(line, concat(chr(1), chr(2)), '  ')), chr(1))), '\\n')"
+    runs = f"filter(transform(split({numbered}, chr(1)), r -> filter(split(r, '\\n'), l -> l <> '')), r -> size(r) > 0)"
+    line = "named_struct('j', cast(substring_index(x, chr(2), 1) as int), 'line', substring_index(x, chr(2), -1))"
+    whole = "if(size(r) > 1, array(named_struct('j', cast(substring_index(r[0], chr(2), 1) as int), 'line', array_join(transform(r, x -> substring_index(x, chr(2), -1)), ' '))), cast(array() as array<struct<j:int,line:string>>))"
     lets = {"vocabulary": vocabulary, "weights": weights, "names": names, "templates": templates, "rarity": rarity, "known": _strings(often)}
     for name, value in lets.items():
         judged = re.sub(rf"(?<![\w'.]){name}(?=[\[,])", value.replace("\\", r"\\"), judged)
-    notices = f"filter(transform({lines}, l -> {re.sub(r'(?<![\w.])(line|j)(?!\w)', r'l.\1', judged)}), x -> x.prose < 0.5)"
+    single = re.sub(r'(?<![\w.])(line|j)(?!\w)', r'l.\1', judged)
+    # of a run the joined lines, if any, come first
+    each = f"transform({runs}, r -> transform(concat({whole}, transform(r, x -> {line})), l -> {single}))"
+    families = "array_distinct(transform(filter(slice(c, 2, size(c) - 1), x -> x.prose < 0.5D and x.family <> 'unknown'), x -> x.family))"
+    joined = f"size(c) > 1 and c[0].prose < 0.5D and c[0].family <> 'unknown' and size(array_except({families}, array(c[0].family))) = 0"
+    chosen = f"if({joined}, slice(c, 1, 1), filter(if(size(c) > 1, slice(c, 2, size(c) - 1), c), x -> x.prose < 0.5D))"
+    notices = f"if(any, flatten(transform({each}, c -> {chosen})), cast(array() as array<struct<paragraph:int,family:string,probability:double,similarity:double,prose:double>>))"
     out = gated.select("doc_id", F.expr(notices).alias("found"))
     return out.select("doc_id", F.expr("transform(found, x -> named_struct('paragraph', x.paragraph, 'family', x.family, 'probability', x.probability, 'similarity', x.similarity))").alias("notices"))
 
