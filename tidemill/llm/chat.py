@@ -16,6 +16,8 @@ states its part begins and ends and repairs it on its own.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +35,8 @@ STATES = 4
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 OPENED, CLOSED = "<|{role}|>\n", "<|end|>\n"
 JOINED = "\n\n"
+#: What begins a mark within a text gets one more backslash, so that no text can open or end a turn; ``unescaped`` takes it away.
+_MARK, _ESCAPED = r"<(\\*)\|", r"<\\$1|"
 _FAR = 1 << 60
 
 #: Other names of the roles.
@@ -105,8 +109,6 @@ def repair(roles: list[int], enter: int = START, leave: int | None = None) -> li
     return out[::-1]
 
 
-
-
 def _costs(batches):
     for batch in batches:
         rows = batch.to_pylist()
@@ -134,8 +136,8 @@ def _fragments(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
 
-#: Turns of a conversation in one part.
-PART = 1024
+#: Turns of a conversation in one part. The parts' cost tables, 16 numbers each, of one conversation meet in one row.
+PART = 16384
 
 
 def repaired(turns: DataFrame) -> DataFrame:
@@ -146,8 +148,9 @@ def repaired(turns: DataFrame) -> DataFrame:
     (role of an empty turn put before it) and fragment: what the turn adds to
     the rendered conversation, which is its fragments in order of place.
 
-    Turns stand in order of turn (nulls first), then role and text. Null texts
-    count as empty; turns without conv_id form one conversation of their own.
+    Turns stand in order of turn (nulls first), then role and text. Marks within
+    texts are escaped, so that only real turns open and end. Null texts count as
+    empty, texts of any length stay whole; turns without conv_id form one conversation of their own.
     Repeated rows are turns like any other and get merged or parted as is
     cheapest. An empty table gives an empty result.
     """
@@ -185,10 +188,15 @@ def repaired(turns: DataFrame) -> DataFrame:
     opened = lambda c: F.concat(F.lit(OPENED.split("{role}")[0]), c, F.lit(OPENED.split("{role}")[1]))
     closes = F.when(F.col("opens") & (F.col("place") > 0), F.lit(CLOSED)).otherwise("")
     empty = F.when(F.col("inserted").isNotNull(), F.concat(opened(F.col("inserted")), F.lit(CLOSED))).otherwise("")
-    fragment = F.concat(closes, empty, F.when(F.col("opens"), opened(F.col("new_role"))).otherwise(F.lit(JOINED)), F.col("text"), F.when(F.col("ends"), F.lit(CLOSED)).otherwise(""))
+    fragment = F.concat(closes, empty, F.when(F.col("opens"), opened(F.col("new_role"))).otherwise(F.lit(JOINED)), F.regexp_replace("text", _MARK, _ESCAPED), F.when(F.col("ends"), F.lit(CLOSED)).otherwise(""))
     return whole.select("conv_id", "place", "turn", F.col("new_role").alias("role"), "action", "inserted", fragment.alias("fragment"))
 
 
+def unescaped(text: str) -> str:
+    """A turn's text as it was given."""
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def _states(step, begin):
     """Column: for each table in ``tables`` the state before and after it on the cheapest way through all of them."""
     # forward: costs before each part; backward: the chosen states
