@@ -21,6 +21,7 @@ import struct
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .storage import frugal
 from .words import slices
 
-#: Where the vocabulary files are; the folder's path can be set by this variable of the environment.
-FOLDER = os.environ.get("TIDEMILL_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY = f"{FOLDER}/byte_bpe_50k.json"
+#: The vocabulary file; the folder that has it can be set by this variable of the environment.
+_NAME = "byte_bpe_50k.json"
+VOCABULARY = f"{os.environ['TIDEMILL_TOKENIZERS']}/{_NAME}" if "TIDEMILL_TOKENIZERS" in os.environ else public_tokenizers.path(_NAME)
 #: Words whose tokens a worker remembers before it starts over.
 REMEMBERED = 120_000
 #: Ids decoded at once.
@@ -273,7 +274,8 @@ def digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     A null text counts as empty: no tokens, and the digests of no bytes. Rows
     are independent, so repeated rows give repeated results; an empty table
-    gives an empty result. Ids and decoded texts never leave the task.
+    gives an empty result. Texts of any length are encoded whole, a text's ids
+    being held at once. Ids and decoded texts never leave the task.
     """
     return frugal(docs).select("doc_id", "text").mapInArrow(_encoded(path, False), _DIGESTS)
 

@@ -26,7 +26,8 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Rows are ordered by doc_id (nulls first), then checksum and size; rows
     equal in all of these may stand in either order. A null text has size 8
-    and the checksum of no bytes. An empty table gives an empty result.
+    and the checksum of no bytes; of a text of any length, only its size and
+    checksum are moved. An empty table gives an empty result.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
