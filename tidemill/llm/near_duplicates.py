@@ -223,12 +223,13 @@ def _with_pivots(members: DataFrame) -> DataFrame:
 
 def _with_others(members: DataFrame, found: DataFrame) -> DataFrame:
     """Cells of the second pass: members outside the largest component of their bucket on the left, all of its members on the right."""
-    parted = members.select("bucket", "rep", "s1", "m").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "s1", "m", F.coalesce("component", "rep").alias("part"))
+    parted = members.select("bucket", "rep", "s1").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "s1", F.coalesce("component", "rep").alias("part"))
+    parted = store(parted, "parted")
     sizes = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     # the size and, to break ties, the component's own number, in one comparable value
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts"))
     mixed = largest.filter("parts > 1 and m > 3").select("bucket", F.col("top.part").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("long").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("long").alias("rights"))
-    rows = parted.drop("m").join(mixed, "bucket")
+    rows = parted.join(store(mixed, "mixed"), "bucket")
     own = lambda k: F.pmod(F.xxhash64("rep", "s1"), F.col(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     left = rows.filter("part <> top").select(F.col("bucket").alias("a"), own("lefts").alias("b"), every("rights").alias("c"), F.lit(False).alias("right"), "rep", "s1", "part")
@@ -262,7 +263,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     once = buckets.groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
     members = store(banded.join(once, "bucket"), "members")
     # classes that share their least doc_id are told apart by the digest
-    pivots = members.groupBy("bucket").agg(F.min(member).alias("low"), F.max(member).alias("high"))
+    # written, so that the join reads both sides from exchanges of their own and can deal a large bucket out
+    pivots = store(members.groupBy("bucket").agg(F.min(member).alias("low"), F.max(member).alias("high")), "pivots")
     first = _links(docs, classes, _with_pivots(members.join(pivots, "bucket")))
     # rows of one doc_id with different texts tie their classes together
     torn = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).filter("a <> b").select("doc_id")
