@@ -153,3 +153,44 @@ def test_empty_frames(spark):
     assert f.group_by("g").summarize(m=A.mean("x")).nrow() == 0
     assert f.head(3).nrow() == 0 and f.distinct("g").nrow() == 0
     assert f.impute("x", "mean").nrow() == 0
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(500).selectExpr("id", "id % 7 as k")
+    draws = [sorted(r.id for r in Frame(df.repartition(p)).sample_n(20, seed=4).to_spark().collect()) for p in (1, 7)]
+    assert draws[0] == draws[1] and len(set(draws[0])) == 20
+    assert Frame(df.limit(5)).sample_frac(0.5).nrow() == 3 and Frame(df).sample_n(0).nrow() == 0
+
+
+def test_filling_all_columns_of_different_kinds(spark):
+    df = spark.createDataFrame([(1, "a", 1.5, True), (None, None, None, None)], "i int, s string, d double, b boolean")
+    assert tuple(Frame(df).fill_na_all(0).to_spark().collect()[1]) == (0, "0", 0.0, None)
+    assert tuple(Frame(df).fill_na_all(2.5).to_spark().select("i", "s", "d").collect()[1]) == (2.5, "2.5", 2.5)
+    assert tuple(Frame(df).fill_na_all("x").to_spark().collect()[1]) == ("x", "x", "x", "x")
+    assert tuple(Frame(df).fill_na_all(False).to_spark().select("b", "d").collect()[1]) == (False, None)
+
+
+def test_as_of_join_with_missing_keys_and_times(spark):
+    left = spark.createDataFrame([(1, 5), (1, None), (None, 5), (2, 5)], "k int, t int")
+    right = Frame(spark.createDataFrame([(1, None, 10.0), (None, 3, 11.0), (1, 4, None), (2, 6, 12.0)], "k int, t int, v double")).with_reasons("v", F.lit("lost"))
+    out = Frame(left).asof_join(right, "t", ["k"])
+    got = {(r.k, r.t): (r.t_right, r.v, r["__na__v"]) for r in out.df.collect()}
+    assert got == {(1, 5): (4, None, "lost"), (1, None): (None,) * 3, (None, 5): (None,) * 3, (2, 5): (None,) * 3}
+
+
+def test_whole_table_windows_against_one_window(spark, monkeypatch):
+    from tidemill.operators import ranges
+
+    monkeypatch.setattr(ranges, "CHUNK", 7)
+    rows = [(i, (i * 37) % 11, None if i in (60, 75) else float(i % 5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "i int, k int, v double").repartition(6)
+    f = Frame(df).order_by("i").with_reasons("v", F.concat(F.lit("r"), "i"))
+    got = {r.i: r for r in f.lag("v", "b", 3).lead("k", "a", 2).cumulate("v", "s").cumulate("k", "p", "max").rank("k", "r").df.collect()}
+    v, k = [r[2] for r in rows], [r[1] for r in rows]
+    for i in range(100):
+        r = got[i]
+        assert (r.b, r["__na__b"]) == ((v[i - 3], None if v[i - 3] is not None else f"r{i - 3}") if i >= 3 else (None, None))
+        assert r.a == (k[i + 2] if i < 98 else None) and r.p == max(k[: i + 1])
+        assert (r.s, r["__na__s"]) == ((sum(v[: i + 1]), None) if i < 60 else (None, "r60"))
+        assert r.r == sum(x < k[i] for x in k) + (k.count(k[i]) + 1) / 2
+    assert Frame(df.limit(0)).order_by("i").lag("v", "b").cumulate("k", "p").rank("k", "r").nrow() == 0

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import ComputeError, StatError
+from .operators import ranges
 from .operators.aggregates import Agg
 
 _NA, _ORDER = "__na__", "__ord__"
@@ -140,9 +141,17 @@ class Frame:
         return self._with(self.df.withColumn(name, F.coalesce(c, F.lit(value))).drop(_NA + name))
 
     def fill_na_all(self, value) -> Frame:
+        """``fill_na`` on every column that can hold the value: a number also fills strings, as text, and leaves booleans and times alone."""
         out = self
-        for c in self.columns:
-            out = out.fill_na(c, value)
+        for c, kind in self.to_spark().dtypes:
+            number = isinstance(value, (int, float)) and not isinstance(value, bool)
+            if kind == "string" or isinstance(value, str):
+                out = out.fill_na(c, str(value))
+            elif number and kind.startswith(("double", "float", "decimal")) or isinstance(value, bool) and kind == "boolean":
+                out = out.fill_na(c, value)
+            elif number and kind in ("tinyint", "smallint", "int", "bigint"):
+                put = F.lit(value).cast(kind) if float(value).is_integer() else F.lit(float(value))
+                out = out._with(out.df.withColumn(c, F.coalesce(F.col(c), put)).drop(_NA + c))
         return out
 
     def filter_na(self, name: str) -> Frame:
@@ -219,12 +228,17 @@ class Frame:
         return self._first_rows(n, [F.col(name).desc_nulls_last()])
 
     def sample_n(self, n: int = 1, seed: int = 0) -> Frame:
-        """Exactly n rows (all, if fewer) without replacement; the same rows for the same seed whatever the partitioning."""
-        base = self._ordered()
-        return base._with(base.df.orderBy(F.xxhash64(F.lit(seed), *base.order), *base.order).limit(n))
+        """Exactly n rows (all, if fewer) without replacement; the same rows for the same seed whatever the partitioning.
+
+        Rows are drawn by a hash of the order's columns, or of all columns if
+        there is no order; of equal rows any may be drawn.
+        """
+        by = list(self.order) if self.order else self.columns
+        return self._with(self.df.orderBy(F.xxhash64(F.lit(seed), *by), *self.order).limit(max(0, min(n, (1 << 31) - 1))))
 
     def sample_frac(self, fraction: float = 1.0, seed: int = 0) -> Frame:
-        return self.sample_n(round(self.nrow() * fraction), seed)
+        """As many rows as the share comes to, a half rounded up."""
+        return self.sample_n(int(self.nrow() * fraction + 0.5), seed)
 
     def _row_keys(self, names: Sequence[str]) -> list[Column]:
         return [x for n in names for x in (F.col(n), self._reason(n))]
@@ -297,20 +311,24 @@ class Frame:
     def asof_join(self, other: Frame, on: str, by: Sequence[str] = ()) -> Frame:
         """Each row with the last row of ``other`` in the same group whose ``on`` is not later.
 
-        Both sides are merged into one table and the last row seen is carried
+        Missing keys and missing ``on`` match nothing, on either side. Both
+        sides are merged into one table and the last row seen is carried
         forward by a window, so nothing grows beyond the sum of the inputs.
         """
         self._need(on, *by)
         other._need(on, *by)
         rest = [c for c in other.columns if c not in by]
-        packed = other.df.select(*by, F.col(on).alias("__t__"), F.lit(0).alias("__s__"), F.struct(*[F.col(c) for c in rest]).alias("__r__"))
+        named = {c: c + SUFFIX if c in self.columns else c for c in rest}
+        named |= {_NA + c: _NA + to for c, to in named.items() if _NA + c in other.df.columns}
+        there = other.df.dropna(subset=[on, *by])
+        packed = there.select(*by, F.col(on).alias("__t__"), F.lit(0).alias("__s__"), F.struct(*[F.col(c) for c in named]).alias("__r__"))
         own = self.df.select(F.struct(*self.df.columns).alias("__l__"), *by, F.col(on).alias("__t__"), F.lit(1).alias("__s__"))
         both = own.unionByName(packed, allowMissingColumns=True)
         seen = F.last("__r__", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__t__", "__s__").rowsBetween(Window.unboundedPreceding, 0))
         out = both.withColumn("__r__", seen).filter("__s__ = 1")
-        return self._with(out.select("__l__.*", *[F.col("__r__")[c].alias(c + SUFFIX if c in self.columns else c) for c in rest]))
+        return self._with(out.select("__l__.*", *[F.col("__r__")[c].alias(to) for c, to in named.items()]))
 
-    # -- sets (an extension: plain bags of rows) ----------------------------
+    # -- sets (an extension): union_all keeps repeated rows, the others give each row once
 
     def union_all(self, other: Frame) -> Frame:
         return self._with(self.df.unionByName(other.df, allowMissingColumns=True))
@@ -337,8 +355,11 @@ class Frame:
         if names is None:
             seen = base.df.filter(F.col(names_from).isNotNull()).groupBy(names_from).agg(F.min(order).alias("o")).orderBy("o")
             names = [r[0] for r in seen.select(names_from).collect()]
-        wide = base.df.groupBy(*ids).pivot(names_from, list(names)).agg(F.min_by(F.struct(values_from), order)[values_from])
-        return Frame(wide)
+        cell = F.struct(F.col(values_from).alias("v"), self._reason(values_from).alias("r"))
+        wide = base.df.groupBy(*ids).pivot(names_from, list(names)).agg(F.min_by(cell, order))
+        parts = [(str(n), F.col(f"`{c}`")) for n, c in zip(names, wide.columns[len(ids) :])]
+        reasons = [x["r"].alias(_NA + n) for n, x in parts] if _NA + values_from in self.df.columns else []
+        return Frame(wide.select(*ids, *[x["v"].alias(n) for n, x in parts], *reasons))
 
     def pivot_longer(self, columns: Sequence[str], names_to: str = "name", values_to: str = "value", id_cols: Sequence[str] | None = None) -> Frame:
         """One row per cell of ``columns``, all rows of the first column before those of the second."""
@@ -355,6 +376,7 @@ class Frame:
         return Frame(long, (_ORDER,))
 
     # -- windows ----------------------------------------------------------
+    # With ``by`` a group is one task's work; without, rows are dealt by range and no task has to take the table.
 
     def _window(self, by: Sequence[str]):
         base = self._ordered()
@@ -370,26 +392,55 @@ class Frame:
     def _shift(self, name, to, n, by, function) -> Frame:
         self._need(name)
         base, w = self._window(by)
-        df = base.df.withColumn(to, function(name, n).over(w) if n > 0 else F.col(name))
-        if _NA + name in df.columns:
-            df = df.withColumn(_NA + to, function(_NA + name, n).over(w) if n > 0 else F.col(_NA + name))
-        return base._with(df)
+        moved = {to: name} | ({_NA + to: _NA + name} if _NA + name in base.df.columns else {})
+        if n < 1:
+            return base._with(base.df.withColumns({k: F.col(c) for k, c in moved.items()}))
+        if not by:
+            return base._with(ranges.shifted(base.df, base.order, n, moved, function is F.lead))
+        return base._with(base.df.withColumns({k: function(c, n).over(w) for k, c in moved.items()}))
 
     def cumulate(self, name: str, to: str, kind: str = "sum", by: Sequence[str] = ()) -> Frame:
-        """Running sum, product, max or min as doubles; from the first missing value on, all are missing."""
+        """Running sum, product, max or min as doubles; from the first missing value on, all are missing, for its reason."""
         self._need(name)
         base, w = self._window(by)
+        combine = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min}[kind]
+        value, gap = F.col(name).cast("double"), F.when(F.col(name).isNull(), F.struct(self._reason(name).alias("reason")))
+        df = base.df
+        if not by:
+            df = ranges.dealt(df, base.order)
+            first = (F.min_by(gap, F.when(F.col(name).isNull(), F.struct(*base.order))), lambda c: F.first(c, ignorenulls=True))
+            df = df.join(ranges.before(df, __made__=(combine(value), combine), __gap__=first), ranges.PART)
+            w = Window.partitionBy(ranges.PART).orderBy(*base.order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        made = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min}[kind](F.col(name).cast("double")).over(w)
-        whole = F.count(F.lit(1)).over(w) == F.count(name).over(w)
-        return base._with(base.df.withColumn(to, F.when(whole, made)))
+        made, missing = combine(value).over(w), F.first(gap, ignorenulls=True).over(w)
+        if not by:
+            together = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "max": F.greatest, "min": F.least}[kind]
+            made, missing = F.when(F.col("__made__").isNull(), made).otherwise(together("__made__", made) if kind in ("max", "min") else together(F.col("__made__"), made)), F.coalesce("__gap__", missing)
+        df = df.withColumn("__missing__", missing).withColumn(to, F.when(F.col("__missing__").isNull(), made))
+        if _NA + name in base.df.columns:
+            df = df.withColumn(_NA + to, F.col("__missing__.reason"))
+        return base._with(df.drop("__missing__", "__made__", "__gap__", ranges.PART))
 
     def rank(self, name: str, to: str, by: Sequence[str] = ()) -> Frame:
-        """Ascending rank; ties get their mean rank."""
+        """Ascending rank, missing values first; ties get their mean rank.
+
+        Values are counted first; ranks are sums over the counts of smaller
+        values, so rows themselves are never sorted in one task.
+        """
         self._need(name)
-        w = Window.partitionBy(*by).orderBy(name)
-        ties = Window.partitionBy(*by, name)
-        return self._with(self.df.withColumn(to, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0))
+        counts = self.df.groupBy(*by, name).agg(F.count(F.lit(1)).alias("__k__"))
+        up = F.col(name).asc_nulls_first()
+        if by:
+            earlier = F.sum("__k__").over(Window.partitionBy(*by).orderBy(up).rowsBetween(Window.unboundedPreceding, -1))
+            counts = counts.withColumn("__b__", F.coalesce(earlier, F.lit(0)))
+        else:
+            counts = ranges.dealt(counts, [up])
+            inside = F.sum("__k__").over(Window.partitionBy(ranges.PART).orderBy(up).rowsBetween(Window.unboundedPreceding, -1))
+            counts = counts.join(ranges.before(counts, __p__=(F.sum("__k__"), F.sum)), ranges.PART).withColumn("__b__", F.coalesce("__p__", F.lit(0)) + F.coalesce(inside, F.lit(0)))
+        keys = [*by, name]
+        placed = counts.select(*[F.col(c).alias(f"__{i}__") for i, c in enumerate(keys)], (F.col("__b__") + (F.col("__k__") + 1) / 2.0).alias(to))
+        same = [self.df[c].eqNullSafe(placed[f"__{i}__"]) for i, c in enumerate(keys)]
+        return self._with(self.df.join(placed, same).drop(*[f"__{i}__" for i in range(len(keys))]))
 
 
 def desc(name: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StatError
 from ..functions import distributions as D
-from ..sources.scratch import cut
+from ..sources.scratch import cut, remove
 from .fold import fold, moments
 from .formula import Design, Formula, complete, design
 
@@ -258,15 +258,19 @@ def feols(formula: str, df: DataFrame, vcov: str = "classical", cluster: str | N
     if len(effects) == 1:
         rows = without(rows, effects[0])
     else:
-        last = None
-        for k in range(rounds):
+        last, rows_before = None, rows
+        for _ in range(rounds):
             for e in effects:
                 rows = without(rows, e)
-            rows = cut(rows)
+            older, rows = rows_before, cut(rows)
+            remove(older)
+            rows_before = rows
             now = fold(rows, names, lambda m: (m**2).sum(axis=0))
             if last is not None and np.all(np.abs(now - last) <= tolerance * np.maximum(now, 1e-30)):
                 break
             last = now
+        else:
+            raise StatError("S0203", f"the fixed effects did not settle in {rounds} rounds")
     p = len(names) - 1
     cross = fold(rows, names, lambda m: np.append((m.T @ m).ravel(), len(m)))
     n, cross = int(cross[-1]), cross[:-1].reshape(p + 1, p + 1)
