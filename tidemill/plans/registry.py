@@ -110,7 +110,7 @@ def q_filter_columns(t):
     return t("orders").filter(F.col("o_orderkey") > F.col("o_custkey") * 10).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT count(*) AS n, 4::BIGINT AS k FROM supplier")
+@query("SELECT count(*) AS n, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'supplier') AS k FROM supplier")
 def q_shape(t):
     s = t("supplier")
     return s.mutate(k=F.lit(s.ncol()).cast("long")).group_by("k").summarize(n=A.count())
@@ -215,9 +215,9 @@ def q_join_suffix(t):
     return t("nation").inner_join(t("nation").select("n_nationkey", "n_name"), "n_nationkey").select("n_nationkey", "n_name", "n_name_right")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def q_anti_join(t):
-    return t("customer").join(t("orders").rename("o_custkey", "c_custkey"), "c_custkey", how="left_anti").select("c_custkey")
+    return t("customer").join(t("orders").filter(F.col("o_totalprice") > 300000).rename("o_custkey", "c_custkey"), "c_custkey", how="left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -256,9 +256,9 @@ def q_intersect(t):
     return t("customer").rename("c_nationkey", "k").select("k").intersect(t("supplier").rename("s_nationkey", "k").select("k"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def q_difference(t):
-    return t("customer").rename("c_custkey", "k").select("k").difference(t("orders").rename("o_custkey", "k").select("k"))
+    return t("customer").rename("c_custkey", "k").select("k").difference(t("orders").filter(F.col("o_totalprice") > 300000).rename("o_custkey", "k").select("k"))
 
 
 # -- groups -------------------------------------------------------------------------
@@ -505,19 +505,37 @@ def q_fixed_effects(t):
     return one_row(x, slope=linear.feols("l_extendedprice ~ l_quantity | l_suppkey", x.df).coef[0])
 
 
-@query("SELECT round(covar_pop(l_extendedprice, l_tax) / covar_pop(l_quantity, l_tax), 4) AS slope FROM lineitem")
+@query("""
+WITH c AS (SELECT covar_pop(l_extendedprice, l_tax) / covar_pop(l_quantity, l_tax) AS slope, avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM lineitem)
+SELECT round(slope, 4) AS slope, round(y - slope * x, 4) AS intercept FROM c""")
 def q_instruments(t):
     x = t("lineitem")
-    return one_row(x, slope=linear.iv("l_extendedprice ~ l_quantity | l_tax", x.df).coef[1]).select(F.round("slope", 4).alias("slope"))
+    m = linear.iv("l_extendedprice ~ l_quantity | l_tax", x.df)
+    return rounded(one_row(x, slope=m.coef[1], intercept=m.coef[0]), "slope", "intercept", digits=4)
 
 
-@query()
+#: The normal distribution's mass between 0 and |z|, by its series.
+_HALF = "list_sum(list_transform(range(0, 120), lambda k: power(abs({z}), 2 * k + 1) * exp(lgamma(k + 2) + (k + 1) * ln(2) - lgamma(2 * k + 3)))) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi())"
+_UPTO = 25
+
+
+def _newton(rows: str, mu: str, weight: str, start: str) -> str:
+    """Newton's steps for a generalised linear model of y on an intercept and k."""
+    return f"""WITH RECURSIVE x AS ({rows}), it AS (SELECT 0 AS i, ({start})::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS va, 0::DOUBLE AS vb UNION ALL
+SELECT i + 1, a + (s22 * g1 - s12 * g2) / (s11 * s22 - s12 * s12), b + (s11 * g2 - s12 * g1) / (s11 * s22 - s12 * s12), s22 / (s11 * s22 - s12 * s12), s11 / (s11 * s22 - s12 * s12) FROM (
+SELECT i, a, b, sum(w) AS s11, sum(w * k) AS s12, sum(w * k * k) AS s22, sum(y - p) AS g1, sum((y - p) * k) AS g2 FROM (SELECT *, {weight} AS w FROM (SELECT i, a, b, y, k, {mu} AS p FROM it, x WHERE i < {_UPTO})) GROUP BY i, a, b)),
+r AS (SELECT '(Intercept)' AS term, a AS estimate, sqrt(va) AS std_error FROM it WHERE i = {_UPTO} UNION ALL SELECT 'k', b, sqrt(vb) FROM it WHERE i = {_UPTO})"""
+
+
+@query(_newton("SELECT (o_orderstatus = 'F')::INTEGER AS y, o_totalprice / 100000 AS k FROM orders", "1 / (1 + exp(-(a + b * k)))", "p * (1 - p)", "0") + f"""
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(z, 6) AS statistic, round(CASE WHEN abs(z) > 6 THEN 0 ELSE 1 - 2 * {_HALF.format(z='z')} END, 6) AS p_value FROM (SELECT *, estimate / std_error AS z FROM r)""")
 def q_logistic(t):
     x = t("orders").mutate(y=(F.col("o_orderstatus") == "F").cast("int"), k=F.col("o_totalprice") / 100000)
     return many_rows(x, linear.logistic("y ~ k", x.df).tidy(), "term", "estimate", "std_error", "statistic", "p_value")
 
 
-@query()
+@query(_newton("SELECT l_quantity AS y, l_linenumber AS k FROM lineitem", "exp(a + b * k)", "p", "SELECT ln(avg(l_quantity)) FROM lineitem") + """
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM r""")
 def q_poisson(t):
     x = t("lineitem").mutate(k=F.col("l_linenumber").cast("double"))
     return many_rows(x, linear.poisson("l_quantity ~ k", x.df).tidy(), "term", "estimate", "std_error")
@@ -530,7 +548,13 @@ def q_lasso(t):
     return one_row(x, lambda_min=p.lambda_min, **{k.strip("()").lower(): v for k, v in p.coef().items()})
 
 
-@query()
+@query("""
+WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, count(*)::DOUBLE AS n FROM lineitem),
+e AS (SELECT l_suppkey, l_quantity - mx AS x, l_extendedprice - a - b * l_quantity AS e, 1 / n + (l_quantity - mx) * (l_quantity - mx) / sxx AS h, sxx, n FROM lineitem, m),
+c AS (SELECT sum(x * e) AS s, any_value(sxx) AS sxx, any_value(n) AS n FROM e GROUP BY l_suppkey),
+k AS (SELECT sum(s * s) / any_value(sxx * sxx) * count(*) / (count(*) - 1) * any_value((n - 1) / (n - 2)) AS cluster FROM c)
+SELECT round(sum(e * e) / any_value((n - 2) * sxx), 6) AS classical, round(sum(x * x * e * e) / any_value(sxx * sxx), 6) AS hc0, round(sum(x * x * e * e) / any_value(sxx * sxx) * any_value(n / (n - 2)), 6) AS hc1,
+  round(sum(x * x * e * e / (1 - h)) / any_value(sxx * sxx), 6) AS hc2, round(sum(x * x * e * e / power(1 - h, 2)) / any_value(sxx * sxx), 6) AS hc3, round(any_value(cluster), 6) AS cluster FROM e, k""")
 def q_robust_errors(t):
     x = t("lineitem")
     m = linear.ols("l_extendedprice ~ l_quantity", x.df, cluster="l_suppkey")
@@ -643,19 +667,38 @@ def q_acf(t):
     return rounded(timeseries.acf(hourly, "v", "h", 2), "acf")
 
 
-@query()
+@query("""
+WITH d AS (SELECT hour(ts) AS i, avg(value) AS v FROM events GROUP BY 1),
+w AS (SELECT i, v, CASE WHEN lag(v, 3) OVER (ORDER BY i) IS NOT NULL AND lead(v, 3) OVER (ORDER BY i) IS NOT NULL THEN (sum(v) OVER (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) - 0.5 * (lag(v, 3) OVER (ORDER BY i) + lead(v, 3) OVER (ORDER BY i))) / 6 END AS trend FROM d),
+s AS (SELECT i % 6 AS k, avg(v - trend) AS s FROM w GROUP BY 1), c AS (SELECT k, s - avg(s) OVER () AS seasonal FROM s)
+SELECT i::INTEGER AS i, round(v, 6) AS v, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(v - trend - seasonal, 6) AS remainder FROM w JOIN c ON k = i % 6""")
 def q_decompose(t):
     daily = t("events").to_spark().groupBy(F.hour("ts").alias("i")).agg(F.avg("value").alias("v"))
     return rounded(timeseries.decompose(daily, "v", "i", 6).select("i", "v", "trend", "seasonal", "remainder"), "v", "trend", "seasonal", "remainder")
 
 
-@query()
+_HOURLY = "s AS (SELECT event_type, h, v, row_number() OVER (PARTITION BY event_type ORDER BY h) AS i FROM (SELECT event_type, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY ALL))"
+
+
+@query(f"""
+WITH RECURSIVE {_HOURLY},
+b AS (SELECT event_type, avg(v) FILTER (i <= 6) AS level, (avg(v) FILTER (i BETWEEN 7 AND 12) - avg(v) FILTER (i <= 6)) / 6 AS trend, list(v ORDER BY i) FILTER (i <= 6) AS y FROM s GROUP BY 1),
+r AS (SELECT event_type, 0::BIGINT AS i, level, trend, list_transform(y, lambda x: x - level) AS season, 0::DOUBLE AS fitted FROM b UNION ALL
+  SELECT event_type, i, now, 0.1 * (now - level) + 0.9 * trend, list_append(season[2:], 0.1 * (v - now) + 0.9 * season[1]), level + trend + season[1] FROM (
+    SELECT r.event_type, s.i, v, level, trend, season, 0.3 * (v - season[1]) + 0.7 * (level + trend) AS now FROM r JOIN s ON s.event_type = r.event_type AND s.i = r.i + 1))
+SELECT event_type, h, round(v, 6) AS v, round(fitted, 6) AS fitted FROM r JOIN s USING (event_type, i)""")
 def q_holt_winters(t):
     e = t("events").to_spark().groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.avg("value").alias("v"))
     return rounded(timeseries.holt_winters(e, "v", "h", 6, by=["event_type"]).select("event_type", "h", "v", "fitted"), "v", "fitted")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_HOURLY},
+f AS (SELECT event_type, 0::BIGINT AS i, v AS m, 11::DOUBLE AS p FROM s WHERE i = 1 UNION ALL
+  SELECT f.event_type, s.i, m + (p + 1) / (p + 11) * (v - m), (1 - (p + 1) / (p + 11)) * (p + 1) FROM f JOIN s ON s.event_type = f.event_type AND s.i = f.i + 1),
+g AS (SELECT f.event_type, f.i, f.m AS smoothed FROM f JOIN (SELECT event_type, max(i) AS i FROM f GROUP BY 1) USING (event_type, i) UNION ALL
+  SELECT f.event_type, f.i, f.m + f.p / (f.p + 1) * (g.smoothed - f.m) FROM g JOIN f ON f.event_type = g.event_type AND f.i = g.i - 1)
+SELECT event_type, h, round(m, 6) AS filtered, round(smoothed, 6) AS smoothed FROM s JOIN f USING (event_type, i) JOIN g USING (event_type, i)""")
 def q_kalman(t):
     e = t("events").to_spark().groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.avg("value").alias("v"))
     return rounded(timeseries.kalman(e, "v", "h", 1.0, 10.0, by=["event_type"]).select("event_type", "h", "filtered", "smoothed"), "filtered", "smoothed")
@@ -688,14 +731,20 @@ def q_mixed_model(t):
     return one_row(x, intercept=m["coef"][0], slope=m["coef"][1], icc=m["icc"])
 
 
-@query()
+@query("""
+WITH r AS (SELECT l_suppkey AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem), m AS (SELECT g, count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my FROM r GROUP BY 1),
+w AS (SELECT (sum((y - my) * (y - my)) - power(sum((x - mx) * (y - my)), 2) / sum((x - mx) * (x - mx))) / (count(*) - 1 - (SELECT count(*) FROM m)) AS e FROM r JOIN m USING (g)),
+b AS (SELECT greatest((regr_syy(my, mx) - power(regr_sxy(my, mx), 2) / regr_sxx(my, mx)) / (count(*) - 2) - any_value(e) / (count(*) / sum(1 / n)), 0) AS u FROM m, w),
+z AS (SELECT y - t * my AS y, 1 - t AS o, x - t * mx AS x FROM r JOIN (SELECT *, 1 - sqrt(e / (e + n * u)) AS t FROM m, w, b) USING (g)),
+s AS (SELECT sum(o * o) AS a, sum(o * x) AS b, sum(x * x) AS c, sum(o * y) AS p, sum(x * y) AS q FROM z)
+SELECT round((c * p - s.b * q) / (a * c - s.b * s.b), 6) AS intercept, round((a * q - s.b * p) / (a * c - s.b * s.b), 6) AS slope, round(sqrt(u), 6) AS sigma_u, round(sqrt(e), 6) AS sigma_e FROM s, w, b""")
 def q_random_effects(t):
     x = t("lineitem")
     m = panel.random_effects(x.df, "l_extendedprice", ["l_quantity"], "l_suppkey")
     return one_row(x, intercept=m["coef"][0], slope=m["coef"][1], sigma_u=m["sigma_u"], sigma_e=m["sigma_e"])
 
 
-@query()
+@query(f"SELECT c_custkey, round(0.5 + sign(z) * {_HALF.format(z='z')}, 6) AS p, round(exp(-z * z / 2) / sqrt(2 * pi()), 6) AS f FROM (SELECT c_custkey, (c_acctbal - 4500) / 3000 AS z FROM customer)")
 def q_normal_distribution(t):
     x = t("customer").mutate(z=(F.col("c_acctbal") - 4500) / 3000).df
     d = D.normal()
@@ -708,6 +757,163 @@ def q_bootstrap_mean(t):
     return x.df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(hypothesis.bootstrap_mean(x.df, "o_totalprice", 20, 3))], "replica long, mean double")
 
 
+# -- nulls, whole-table order, further models -----------------------------------------------------
+
+
+@query("SELECT event_id, coalesce(CASE WHEN value > 20 THEN value END, 0) AS v, coalesce(nullif(event_type, 'error'), '0') AS k FROM events")
+def q_fill_na_all(t):
+    return t("events").mutate(k=F.nullif(F.col("event_type"), F.lit("error")), v=F.when(F.col("value") > 20, F.col("value"))).select("event_id", "v", "k").fill_na_all(0)
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, value, CASE WHEN event_id % 5 <> 0 THEN ts END AS ts, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id FROM events), a AS (SELECT * FROM e WHERE event_type = 'click'), b AS (SELECT * FROM e WHERE event_type = 'error')
+SELECT a.event_id, (SELECT max_by(b.value, b.ts) FROM b WHERE b.user_id = a.user_id AND b.ts <= a.ts) AS value FROM a""")
+def q_asof_join_na(t):
+    e = t("events").mutate(ts=F.when(F.col("event_id") % 5 != 0, F.col("ts")), user_id=F.when(F.col("event_id") % 7 != 0, F.col("user_id")))
+    right = e.filter(F.col("event_type") == "error").select("user_id", "ts", "value")
+    return e.filter(F.col("event_type") == "click").select("event_id", "user_id", "ts").asof_join(right, "ts", ["user_id"]).select("event_id", "value")
+
+
+def _with_gaps(t):
+    return t("events").order_by("event_id").mutate(v=F.when(F.col("value") <= 60, F.col("value"))).with_reasons("v", F.concat(F.lit("over in "), "event_type"))
+
+
+@query("""
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_type IN ('click', 'error'))
+SELECT CASE WHEN value > 60 THEN 'over in ' || event_type END AS reason, count(*) AS n FROM f WHERE k = 1 AND event_type = 'error' GROUP BY 1""")
+def q_pivot_reasons(t):
+    wide = _with_gaps(t).filter(F.col("event_type").isin("click", "error")).pivot_wider("event_type", "v", ["user_id"], names=["click", "error"])
+    return wide.join(t("events").filter(F.col("event_type") == "error").select("user_id"), "user_id", how="left_semi").pull("error").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, value, CASE WHEN value > 60 THEN event_type END AS why FROM events),
+c AS (SELECT *, count(why) OVER w AS gaps, sum(value) OVER w AS s, first_value(why IGNORE NULLS) OVER w AS first FROM g WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT CASE WHEN gaps > 0 THEN 'over in ' || first END AS reason, count(*) AS n, round(sum(CASE WHEN gaps = 0 THEN s END), 4) AS total FROM c GROUP BY 1""")
+def q_cumsum_reasons(t):
+    summed = _with_gaps(t).cumulate("v", "s", "sum", by=["user_id"])
+    return summed.pull("s").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 4).alias("total"))
+
+
+@query("SELECT o_orderkey, lag(o_custkey, 3) OVER (ORDER BY o_orderkey) AS before, lead(o_custkey, 2) OVER (ORDER BY o_orderkey) AS after FROM orders")
+def q_lag_lead_whole(t):
+    return t("orders").order_by("o_orderkey").lag("o_custkey", "before", 3).lead("o_custkey", "after", 2).select("o_orderkey", "before", "after")
+
+
+@query("SELECT o_orderkey, (sum(o_custkey) OVER w)::BIGINT AS s, max(o_custkey) OVER w AS hi, min(o_custkey) OVER w AS lo FROM orders WINDOW w AS (ORDER BY o_orderkey)")
+def q_cumulate_whole(t):
+    o = t("orders").order_by("o_orderkey").cumulate("o_custkey", "s").cumulate("o_custkey", "hi", "max").cumulate("o_custkey", "lo", "min")
+    return o.to_spark().select("o_orderkey", *[F.col(c).cast("long").alias(c) for c in ("s", "hi", "lo")])
+
+
+@query("SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS r FROM orders")
+def q_rank_whole(t):
+    return t("orders").rank("o_custkey", "r").select("o_orderkey", "r")
+
+
+@query("SELECT event_id, coalesce(CASE WHEN value > 20 THEN value END, 0) AS zero, coalesce(CASE WHEN value > 20 THEN value END, 7.5) AS const FROM events")
+def q_impute_fixed(t):
+    e = t("events").mutate(zero=F.when(F.col("value") > 20, F.col("value")), const=F.when(F.col("value") > 20, F.col("value")))
+    return e.impute("zero", "zero").impute("const", "const", 7.5).select("event_id", "zero", "const")
+
+
+@query("SELECT coalesce(n_nationkey, r_regionkey + 20)::INTEGER AS k, n_name, r_name FROM nation FULL JOIN region ON r_regionkey + 20 = n_nationkey")
+def q_full_join(t):
+    r = t("region").mutate(k=(F.col("r_regionkey") + 20).cast("int")).select("k", "r_name")
+    return t("nation").rename("n_nationkey", "k").select("k", "n_name").join(r, "k", how="full")
+
+
+@query("SELECT * FROM orders")
+def q_sample_all(t):
+    return t("orders").sample_n(1 << 40, seed=3)
+
+
+@query("SELECT round((avg(l_quantity) - 25) / sqrt(var_samp(l_quantity) / count(*)), 6) AS t, count(*)::DOUBLE - 1 AS df, round((avg(l_quantity) - 25) / (14 / sqrt(count(*))), 6) AS z, round(avg(l_quantity) - 1.959963984540054 * 14 / sqrt(count(*)), 6) AS low FROM lineitem")
+def q_one_sample_tests(t):
+    x = t("lineitem")
+    one, z = hypothesis.t_test_one_sample(x.df, "l_quantity", 25.0), hypothesis.z_test_one_sample(x.df, "l_quantity", 14.0, 25.0)
+    return one_row(x, t=one["statistic"], df=one["df"], z=z["statistic"], low=z["conf_low"])
+
+
+@query("SELECT round(regr_r2(l_extendedprice, l_quantity) * regr_syy(l_extendedprice, l_quantity) / 1e6, 4) AS sum_sq, round(regr_r2(l_extendedprice, l_quantity) / (1 - regr_r2(l_extendedprice, l_quantity)) * (count(*) - 2) / 1e3, 4) AS f FROM lineitem")
+def q_anova(t):
+    x = t("lineitem")
+    row = linear.anova(linear.ols("l_extendedprice ~ l_quantity", x.df))[0]
+    return rounded(one_row(x, sum_sq=row["sum_sq"] / 1e6, f=row["f_value"] / 1e3), "sum_sq", "f", digits=4)
+
+
+@query("""
+WITH c AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, stddev_pop(l_quantity) AS sd FROM lineitem)
+SELECT round(c / (sd * sd * 1.5), 6) AS ridge, round(greatest(c / sd - 0.5 * 100, 0) / (1 + 0.5 * 100) / sd, 6) AS net, round((c / sd - 100) / sd, 6) AS lasso FROM c""")
+def q_penalties(t):
+    x = t("lineitem")
+    f = "l_extendedprice ~ l_quantity"
+    paths = dict(ridge=linear.ridge(f, x.df, [0.5]), net=linear.elastic_net(f, x.df, 0.5, [100.0]), lasso=linear.lasso(f, x.df, [100.0]))
+    return one_row(x, **{k: p.coefs[0, 0] for k, p in paths.items()})
+
+
+@query("SELECT c_custkey, round(0.5 * exp(-0.5 * x), 6) AS ed, round(1 - exp(-0.5 * x), 6) AS ep, round(x / 10, 4) AS up, round(2 + 3 * u, 6) AS uq, round(-ln(1 - u) / 0.5, 6) AS eq FROM (SELECT c_custkey, (c_acctbal + 1000.003) / 1200 AS x, (c_custkey % 97 + 1) / 100 AS u FROM customer)")
+def q_closed_distributions(t):
+    x = t("customer").mutate(x=(F.col("c_acctbal") + 1000.003) / 1200, u=(F.col("c_custkey") % 97 + 1) / 100).df
+    e, u = D.exponential(0.5), D.uniform(0.0, 10.0)
+    return x.select("c_custkey", r6(e.column("density", "x"), "ed"), r6(e.column("cdf", "x"), "ep"), F.round(u.column("cdf", "x"), 4).alias("up"), r6(D.uniform(2.0, 5.0).column("quantile", "u"), "uq"), r6(e.column("quantile", "u"), "eq"))
+
+
+_SERIES = "d AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1)"
+
+
+def _series(t):
+    return t("events").to_spark().groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
+
+
+@query(f"""
+WITH {_SERIES}, c AS (SELECT h, v - avg(v) OVER () AS x FROM d), l AS (SELECT x, lag(x) OVER (ORDER BY h) AS l1, lag(x, 2) OVER (ORDER BY h) AS l2 FROM c),
+r AS (SELECT sum(x * l1) / sum(x * x) AS r1, sum(x * l2) / sum(x * x) AS r2, count(*)::DOUBLE AS n FROM l)
+SELECT round((r2 - r1 * r1) / (1 - r1 * r1), 6) AS pacf2, round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 6) AS box FROM r""")
+def q_pacf_and_box(t):
+    x = _series(t)
+    return one_row(x, pacf2=timeseries.pacf(x, "v", "h", 2)[2], box=timeseries.ljung_box(x, "v", "h", 2)["statistic"])
+
+
+@query(f"""
+WITH {_SERIES}, l AS (SELECT v - lag(v) OVER (ORDER BY h) AS y, lag(v) OVER (ORDER BY h) AS x FROM d), r AS (SELECT regr_slope(y, x) AS b, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx, regr_count(y, x) AS n FROM l)
+SELECT round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS statistic, n::DOUBLE AS n FROM r""")
+def q_unit_root(t):
+    x = _series(t)
+    r = timeseries.adf(x, "v", "h")
+    return one_row(x, statistic=r["statistic"], n=r["n"])
+
+
+@query("SELECT round(1 / (1 - power(corr(l_quantity, l_extendedprice), 2)), 6) AS vif FROM lineitem")
+def q_vif(t):
+    x = t("lineitem")
+    return one_row(x, vif=impute.vif(x.df, ["l_quantity", "l_extendedprice"])[0]["vif"])
+
+
+@query("SELECT round(covar_pop(l_extendedprice, l_tax) / covar_pop(l_quantity, l_tax), 4) AS estimate FROM lineitem")
+def q_iv_2sls(t):
+    x = t("lineitem")
+    return rounded(one_row(x, estimate=causal.iv_2sls(x.df, "l_extendedprice", "l_quantity", "l_tax")["estimate"]), "estimate", digits=4)
+
+
+@query("WITH m AS (SELECT avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY l_suppkey) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM m")
+def q_between(t):
+    x = t("lineitem")
+    m = panel.between(x.df, "l_extendedprice", ["l_quantity"], "l_suppkey")
+    return one_row(x, slope=m.coef[1], intercept=m.coef[0])
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, list_sort(v)[1:3] AS low, list_reverse_sort(v)[1:3] AS high, len(list_filter(v, lambda x: x > 0))::INTEGER AS n_up, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS squares, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS lse, v[1:2] || [9.0::DOUBLE] AS more FROM v""")
+def q_vectors(t):
+    x = t("embeddings").df.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return x.select(
+        "vec_id", F.slice(V.vec_sort("v"), 1, 3).alias("low"), F.slice(V.vec_sort("v", descending=True), 1, 3).alias("high"), F.size(V.vec_filter("v", lambda y: y > 0)).alias("n_up"),
+        r6(V.vec_reduce(V.vec_map("v", lambda y: y * y), F.lit(0.0), lambda a, b: a + b), "squares"), r6(V.log_sum_exp("v"), "lse"), V.append(F.slice("v", 1, 2), F.lit(9.0)).alias("more"),
+    )
+
+
 # -- windows over time ------------------------------------------------------------------------
 
 
