@@ -256,17 +256,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Model:
-    """From sampled rows (toxic, their selected features, pattern votes), the features' log odds for toxic texts and the smoothed share of toxic rows among those that have the feature."""
-    y = np.array([r.toxic for r in rows], dtype=int)
+def _constant(n1: int, n0: int) -> Model:
+    """Every text scores the smoothed share of toxic rows."""
+    rate = (n1 + 1) / (n1 + n0 + 2)
+    return Model(np.zeros(0, np.uint64), np.array([np.log(rate / (1 - rate))]), None)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """(lengths, values) of a column of lists."""
+    whole = column.combine_chunks()
+    return whole.value_lengths().to_numpy(zero_copy_only=False), whole.flatten()
+
+
+def _fit(rows: pa.Table, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Model:
+    """From sampled rows (doc_id, toxic, their selected features, pattern votes), the features' log odds for toxic texts and the smoothed share of toxic rows among those that have the feature."""
+    y = rows["toxic"].to_numpy().astype(int)
     n, width = len(y), len(features)
-    if n == 0 or y.min() == y.max():
-        rate = (y.sum() + 1) / (n + 2)
-        return Model(features[:0], np.array([np.log(rate / (1 - rate))]), None)
     presence = Presence(features)
-    count = np.array([len(r.features) for r in rows])
-    hashes = np.concatenate([np.asarray(r.features, dtype=np.int64) for r in rows]).view(np.uint64) if count.sum() else np.zeros(0, np.uint64)
-    at, column = presence.find(hashes, np.repeat(np.arange(n), count))
+    count, values = _lists(rows["features"])
+    at, column = presence.find(values.to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(n), count))
+    del values
     # learned lexicons: the features that speak most for toxic, dealt out in turn, so each sees a part of the evidence
     toxic = np.flatnonzero((lift > np.log(4)) & (share > SURE))[: 40 * LEXICONS]
     of = np.full(width, -1)
@@ -277,10 +286,10 @@ def _fit(rows, features: np.ndarray, lift: np.ndarray, share: np.ndarray) -> Mod
     for k, words in enumerate(INSULTS.values()):
         known = np.isin(features, hash_words([w.encode() for w in words.split()], ALNUM)[0])
         votes[at[known[column]], LEXICONS + k] = True
-    votes[:, LEXICONS + len(INSULTS) : -len(SIGNS)] = np.array([list(r.marks) for r in rows], dtype=bool)
+    votes[:, LEXICONS + len(INSULTS) : -len(SIGNS)] = _lists(rows["marks"])[1].to_numpy(zero_copy_only=False).reshape(n, PATTERNS)
     votes[:, -len(SIGNS) :] = np.bincount(at[use], minlength=n)[:, None] >= np.array(SIGNS)
     posterior, estimates = label_model(votes, y)
-    estimates |= {"ids": [r.doc_id for r in rows], "posterior": posterior}
+    estimates |= {"ids": rows["doc_id"].to_pylist(), "posterior": posterior}
     # toxic texts of the sample hold several signs each; rows of a single sign teach what one is worth
     alone = n + np.arange(len(toxic))
     # and rows without any feature keep texts of unknown words, which show no sign, on the clean side
@@ -305,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return _fit(sample.select("toxic", F.array().cast("array<long>").alias("features"), "marks").collect(), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        return _constant(n1, n0)
     counted = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0")).filter(F.col("k1") + F.col("k0") >= SUPPORT)
     # signed root of the information that the feature's presence has on the label
     p1, p0, p = (F.col("k1") + 0.5) / (n1 + 1), (F.col("k0") + 0.5) / (n0 + 1), (F.col("k1") + F.col("k0") + 1) / (n1 + n0 + 2)
@@ -314,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     features = np.array([r.f for r in best], dtype=np.int64).view(np.uint64)
     chosen = [int(r.f) for r in best]
     few = sample.select("doc_id", "toxic", F.array_intersect("features", F.lit(chosen).cast("array<long>")).alias("features"), "marks")
-    return _fit(few.collect(), features, np.array([r.lift for r in best]), np.array([r.share for r in best]))
+    return _fit(few.toArrow(), features, np.array([r.lift for r in best]), np.array([r.share for r in best]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
