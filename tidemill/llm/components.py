@@ -18,25 +18,23 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     larger neighbours by large-star, the smaller ones and the node by
     small-star. The minimum is pre-aggregated and joined back. Nodes with over
     n / HEAVY_SHARE edges, of which there can be 2 * HEAVY_SHARE at most, get
-    theirs by broadcast, so no task has to take all edges of one node.
+    theirs by broadcast, so no task has to take all edges of one node. The others
+    are merged, so that nothing that grows with the edges passes the driver.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "low").alias("m"), "k")
-    least = store(least, "least")
     heavy = max(HEAVY_LEAST, n // HEAVY_SHARE)
     many, few = (least.filter(F.col("k") > heavy).select("u", "m"), least.filter(F.col("k") <= heavy).select("u", "m"))
     marked = near.join(F.broadcast(many), "u", "left")
-    tied = marked.filter("m is not null").unionByName(marked.filter("m is null").select("u", "v").join(few, "u"))
+    tied = marked.filter("m is not null").unionByName(marked.filter("m is null").select("u", "v").join(few.hint("merge"), "u"))
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    out = store(out.filter("u <> v").distinct(), "edges")
-    discard(least)
-    return out
+    return out.filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -51,11 +49,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     digest = [F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(20,0)))").alias("h")]
     seen = now.agg(*digest).collect()[0]
     for _ in range(max_rounds if seen.n else 0):
-        half = _star(now, True, seen.n)
-        after = _star(half, False, seen.n)
+        half = store(_star(now, True, seen.n), "edges")
+        discard(now)
+        after = store(_star(half, False, seen.n), "edges")
         new = after.agg(*digest).collect()[0]
         discard(half)
-        discard(now)
         now = after
         if new == seen:
             break

@@ -13,6 +13,7 @@ this, with work linear in their number. Then the members outside the bucket's
 largest component so far meet all members of other components. Members meet in
 cells of ``BLOCK`` by ``BLOCK``, so no bucket has to fit into one task and none
 is cut, and a cell gives a spanning forest of its confirmed links, never pairs.
+Tables that grow with the corpus are joined by merging, never by broadcast.
 """
 
 from __future__ import annotations
@@ -202,10 +203,10 @@ def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, cells: DataFrame) -> DataFrame:
     """The links (u, v) between the sides of ``cells``: verified on signatures, then confirmed on sets read from the texts."""
-    sketched = cells.join(classes.select("rep", "s1", "sketch"), ["rep", "s1"]).select(*_KEYS, "right", "rep", "s1", "part", "sketch")
+    sketched = cells.join(classes.select("rep", "s1", "sketch").hint("merge"), ["rep", "s1"]).select(*_KEYS, "right", "rep", "s1", "part", "sketch")
     near = store(sketched.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_verify, _CELL), "verified")
     sets = _maybe(docs, near.select("rep").distinct()).mapInArrow(_sets, "rep long, s1 long, shingles binary").dropDuplicates(["rep", "s1"])
-    dealt = near.join(sets, ["rep", "s1"]).select(*_KEYS, "right", "rep", "s1", "part", "shingles")
+    dealt = near.join(sets.hint("merge"), ["rep", "s1"]).select(*_KEYS, "right", "rep", "s1", "part", "shingles")
     links = store(dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_confirm, "u long, v long").distinct(), "links")
     discard(near)
     return links
@@ -223,13 +224,13 @@ def _with_pivots(members: DataFrame) -> DataFrame:
 
 def _with_others(members: DataFrame, found: DataFrame) -> DataFrame:
     """Cells of the second pass: members outside the largest component of their bucket on the left, all of its members on the right."""
-    parted = members.select("bucket", "rep", "s1").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "s1", F.coalesce("component", "rep").alias("part"))
+    parted = members.select("bucket", "rep", "s1").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "rep", "s1", F.coalesce("component", "rep").alias("part"))
     parted = store(parted, "parted")
     sizes = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     # the size and, to break ties, the component's own number, in one comparable value
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts"))
     mixed = largest.filter("parts > 1 and m > 3").select("bucket", F.col("top.part").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("long").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("long").alias("rights"))
-    rows = parted.join(store(mixed, "mixed"), "bucket")
+    rows = parted.join(store(mixed, "mixed").hint("merge"), "bucket")
     own = lambda k: F.pmod(F.xxhash64("rep", "s1"), F.col(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     left = rows.filter("part <> top").select(F.col("bucket").alias("a"), own("lefts").alias("b"), every("rights").alias("c"), F.lit(False).alias("right"), "rep", "s1", "part")
@@ -261,11 +262,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     xors = [F.expr("bit_xor(xxhash64(rep, s1))").alias("f1"), F.expr("bit_xor(xxhash64(rep, s1, 1))").alias("f2")]
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), *xors).filter("m > 1")
     once = buckets.groupBy("m", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    members = store(banded.join(once, "bucket"), "members")
+    members = store(banded.join(once.hint("merge"), "bucket"), "members")
     # classes that share their least doc_id are told apart by the digest
     # written, so that the join reads both sides from exchanges of their own and can deal a large bucket out
     pivots = store(members.groupBy("bucket").agg(F.min(member).alias("low"), F.max(member).alias("high")), "pivots")
-    first = _links(docs, classes, _with_pivots(members.join(pivots, "bucket")))
+    first = _links(docs, classes, _with_pivots(members.join(pivots.hint("merge"), "bucket")))
     # rows of one doc_id with different texts tie their classes together
     torn = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).filter("a <> b").select("doc_id")
     ties = full.select("doc_id", "s1", "s2").join(torn, "doc_id").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
@@ -274,9 +275,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     second = _links(docs, classes, _with_others(members, found))
     if not second.isEmpty():
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
-    labels = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
+    labels = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
     rows = table.select("doc_id", "n_shingles", "s1", "s2")
-    per_row = rows.filter("n_shingles > 0").join(labels, ["s1", "s2"], "left")
+    per_row = rows.filter("n_shingles > 0").join(labels.hint("merge"), ["s1", "s2"], "left")
     per_row = per_row.unionByName(rows.filter("n_shingles = 0").withColumn("c", F.col("doc_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return per_row.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
