@@ -37,28 +37,31 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _state(edges: DataFrame):
+    """The number of edges (u > v), and of nodes that keep them from being stars: tied to several smaller nodes, or to both sides."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
+    return nodes.agg(F.sum("ups").alias("n"), F.expr("count_if(ups > 1 or ups = 1 and down = 1)").alias("open")).collect()[0]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the integer edges (u, v); component is the smallest node reachable.
 
     Loops, repeated edges and null ends are ignored. An empty table gives an
     empty result. Each step is written to the shared folder, so a lost
-    executor costs that step at most; the loop ends when a round changes
-    nothing, which is when every node points at its component's least node.
+    executor costs that step at most; the loop ends when the edges are stars,
+    that is when every node points at its component's least node.
     """
     now = store(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    digest = [F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(20,0)))").alias("h")]
-    seen = now.agg(*digest).collect()[0]
-    for _ in range(max_rounds if seen.n else 0):
-        half = store(_star(now, True, seen.n), "edges")
+    state = _state(now)
+    for _ in range(max_rounds):
+        if not state.open:
+            break
+        half = store(_star(now, True, state.n), "edges")
         discard(now)
-        after = store(_star(half, False, seen.n), "edges")
-        new = after.agg(*digest).collect()[0]
+        now = store(_star(half, False, state.n), "edges")
         discard(half)
-        now = after
-        if new == seen:
-            break
-        seen = new
+        state = _state(now)
     else:
-        if seen.n:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        raise RuntimeError(f"no stars after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -100,7 +100,7 @@ def _grouped(batches, keys: int):
         yield last, held
 
 
-#: A cell's key; whether the row stands on its right side; the class, by its least doc_id and a digest; its component so far.
+#: A cell's key; whether the row stands on its right side; the class, by its least doc_id and a digest; its component so far, at first that doc_id.
 _CELL = "a long, b long, c long, right boolean, rep long, s1 long, part long"
 _KEYS = ["a", "b", "c"]
 
@@ -156,8 +156,8 @@ def _shared(lefts: list[np.ndarray], rights: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirm(batches):
-    """Per cell, a spanning forest of the links between its sides that hold on the full sets."""
-    for _, right, rep, _, part, blobs in _cells(batches):
+    """Per cell, a spanning forest of the links between its sides that hold on the full sets, as pairs of components."""
+    for _, right, _, _, part, blobs in _cells(batches):
         sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs]
         left, other = np.flatnonzero(~right), np.flatnonzero(right)
         if not len(left) or not len(other):
@@ -174,7 +174,7 @@ def _confirm(batches):
                 open_right[found] = False
                 front = np.flatnonzero(link[:, found].any(axis=1) & open_left) if len(found) else []
                 open_left[front] = False
-                out += [(rep[left[root]], x) for x in (*rep[other[found]], *rep[left[front]])]
+                out += [(part[left[root]], x) for x in (*part[other[found]], *part[left[front]])]
                 front = list(front)
         if out:
             u, v = np.array(out, dtype=np.int64).T
@@ -188,6 +188,7 @@ def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     which bounds what is broadcast; a corpus of which hundreds of millions of
     texts are wanted passes it almost whole. The join with the members decides.
     """
+    # a class that stands in several cells is counted with each, which only lengthens the filter
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * wanted.count()).bit_length()))
 
     def place(c):
@@ -205,7 +206,7 @@ def _links(docs: DataFrame, classes: DataFrame, cells: DataFrame) -> DataFrame:
     """The links (u, v) between the sides of ``cells``: verified on signatures, then confirmed on sets read from the texts."""
     sketched = cells.join(classes.select("rep", "s1", "sketch").hint("merge"), ["rep", "s1"]).select(*_KEYS, "right", "rep", "s1", "part", "sketch")
     near = store(sketched.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_verify, _CELL), "verified")
-    sets = _maybe(docs, near.select("rep").distinct()).mapInArrow(_sets, "rep long, s1 long, shingles binary").dropDuplicates(["rep", "s1"])
+    sets = _maybe(docs, near.select("rep")).mapInArrow(_sets, "rep long, s1 long, shingles binary").dropDuplicates(["rep", "s1"])
     dealt = near.join(sets.hint("merge"), ["rep", "s1"]).select(*_KEYS, "right", "rep", "s1", "part", "shingles")
     links = store(dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_confirm, "u long, v long").distinct(), "links")
     discard(near)
@@ -213,24 +214,33 @@ def _links(docs: DataFrame, classes: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
-    """Cells of the first pass: a pivot on the left, members of its buckets on the right; pairs in several buckets meet once."""
+    """Cells of the first pass: a pivot on the left, members of its buckets on the right; pairs in several buckets meet once.
+
+    Classes that share their least doc_id are one node and need no link.
+    """
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    pairs = members.select(F.explode(F.array("low", "high")).alias("pivot"), "rep", "s1", blocks.alias("k")).filter("pivot.rep <> rep or pivot.s1 <> s1")
+    pairs = members.select(F.explode(F.array("low", "high")).alias("pivot"), "rep", "s1", blocks.alias("k")).filter("pivot.rep <> rep")
     pairs = pairs.groupBy("pivot", "rep", "s1").agg(F.max("k").alias("k"))
     pairs = pairs.select(F.xxhash64("pivot").alias("a"), F.col("k").alias("b"), F.pmod(F.xxhash64("rep", "s1"), F.col("k")).alias("c"), "pivot", "rep", "s1")
-    left = pairs.select(*_KEYS, F.lit(False).alias("right"), F.col("pivot.rep").alias("rep"), F.col("pivot.s1").alias("s1"), F.lit(0).cast("long").alias("part")).distinct()
-    return left.unionByName(pairs.select(*_KEYS, F.lit(True).alias("right"), "rep", "s1", F.lit(1).cast("long").alias("part")))
+    left = pairs.select(*_KEYS, F.lit(False).alias("right"), F.col("pivot.rep").alias("rep"), F.col("pivot.s1").alias("s1"), F.col("pivot.rep").alias("part")).distinct()
+    return left.unionByName(pairs.select(*_KEYS, F.lit(True).alias("right"), "rep", "s1", F.col("rep").alias("part")))
 
 
-def _with_others(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Cells of the second pass: members outside the largest component of their bucket on the left, all of its members on the right."""
+def _with_others(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Cells of the second pass: members outside the largest component of their bucket on the left, all of its members on the right.
+
+    None if no bucket has members that may still have to meet.
+    """
     parted = members.select("bucket", "rep", "s1").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "rep", "s1", F.coalesce("component", "rep").alias("part"))
     parted = store(parted, "parted")
     sizes = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     # the size and, to break ties, the component's own number, in one comparable value
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts"))
     mixed = largest.filter("parts > 1 and m > 3").select("bucket", F.col("top.part").alias("top"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("long").alias("lefts"), F.ceil(F.col("m") / BLOCK).cast("long").alias("rights"))
-    rows = parted.join(store(mixed, "mixed").hint("merge"), "bucket")
+    mixed = store(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    rows = parted.join(mixed.hint("merge"), "bucket")
     own = lambda k: F.pmod(F.xxhash64("rep", "s1"), F.col(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     left = rows.filter("part <> top").select(F.col("bucket").alias("a"), own("lefts").alias("b"), every("rights").alias("c"), F.lit(False).alias("right"), "rep", "s1", "part")
@@ -269,12 +279,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     first = _links(docs, classes, _with_pivots(members.join(pivots.hint("merge"), "bucket")))
     # rows of one doc_id with different texts tie their classes together
     torn = full.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).filter("a <> b").select("doc_id")
-    ties = full.select("doc_id", "s1", "s2").join(torn, "doc_id").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    first = first.unionByName(ties)
+    torn = store(torn, "torn")
+    if not torn.isEmpty():
+        ties = full.select("doc_id", "s1", "s2").join(torn, "doc_id").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+        first = first.unionByName(ties)
     found = connected_components(first)
-    second = _links(docs, classes, _with_others(members, found))
-    if not second.isEmpty():
-        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
+    cells = _with_others(members, found)
+    if cells is not None:
+        second = _links(docs, classes, cells)
+        if not second.isEmpty():
+            found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
     labels = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
     rows = table.select("doc_id", "n_shingles", "s1", "s2")
     per_row = rows.filter("n_shingles > 0").join(labels.hint("merge"), ["s1", "s2"], "left")
