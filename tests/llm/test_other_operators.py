@@ -2,6 +2,8 @@ import datetime
 import hashlib
 import itertools
 import re
+import shutil
+import subprocess
 import textwrap
 import zlib
 
@@ -603,3 +605,17 @@ def test_label_model_overrules_flipped_labels(spark):
     assert len(wrong) > 40 and np.mean([(posterior[i] > 0.5) == truth[i] for i in wrong]) > 0.5
     right = [i for i in posterior if i not in flipped]
     assert np.mean([(posterior[i] > 0.5) == truth[i] for i in right]) > 0.99
+
+
+def test_parsing_of_pseudonyms_leaves_little_on_the_heap(spark):
+    name = "spark.sql.parser.parserDfaCacheFlushThreshold"
+    before = spark.conf.get(name, None)
+    out = pii.pseudonymised(spark.createDataFrame([(1, "a@b.de")], "doc_id long, text string"))
+    assert spark.conf.get(name, None) == before
+    if not shutil.which("jcmd"):
+        pytest.skip("needs a JDK")
+    driver = spark._jvm.java.lang.ProcessHandle.current().pid()
+    live = subprocess.run(["jcmd", str(driver), "GC.class_histogram"], capture_output=True, text=True, check=True, timeout=60).stdout
+    configs = [int(line.split()[1]) for line in live.splitlines() if "org.antlr.v4.runtime.atn.ATNConfig" in line.split()]
+    assert sum(configs) < 100_000
+    assert out.first().text != "a@b.de"

@@ -15,6 +15,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import forgetful_parser
+
 #: Key of the permutation; keep it secret in production.
 KEY = os.environ.get("TIDEMILL_PII_KEY", "example key")
 ROUNDS = 8
@@ -200,8 +202,9 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     work = "_found"
     while work in docs.columns:
         work += "_"
-    found = F.expr(f"if(text rlike '{_GATE}', transform(regexp_extract_all(text, {_sql(_ANY)}, 0), v -> {_pseudonym('v', key)}), cast(array() as array<struct<kind:string,new:string>>))")
-    marked = docs.withColumn(work, found)
+    found = f"if(text rlike '{_GATE}', transform(regexp_extract_all(text, {_sql(_ANY)}, 0), v -> {_pseudonym('v', key)}), cast(array() as array<struct<kind:string,new:string>>))"
+    with forgetful_parser(docs.sparkSession):  # texts are parsed where a frame takes them
+        marked = docs.withColumn(work, F.expr(found))
     between = f"split(text, {_sql(_ANY)}, -1)"
     woven = f"if(size({work}) > 0, transform(array({between}), p -> array_join(transform(p, (x, k) -> concat(x, coalesce(get({work}, k).new, ''))), ''))[0], text)"
     kinds = f"coalesce(transform(filter({work}, f -> f.kind is not null), f -> f.kind), cast(array() as array<string>))"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,20 @@ def frugal(df: DataFrame) -> DataFrame:
     if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
         conf.set(_BATCH, _FRUGAL)
     return df
+
+
+#: Spark's own settings that let go of what its parser has learned, once that is more states than short texts need.
+_FORGET = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "4000"}
+
+
+@contextmanager
+def forgetful_parser(spark: SparkSession) -> Iterator[None]:
+    """For very long SQL texts: what the parser learns from one would stay on the driver's heap to its end, 57 MB from op6's."""
+    before = {k: spark.conf.get(k, None) for k in _FORGET}
+    try:
+        for k, v in _FORGET.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
